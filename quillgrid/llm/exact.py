@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import ascii_lower, small_or_shuffled
+from quillgrid.llm.util import ascii_lower, small_or_shuffled, stored
 
 PREFIX_CHARS = 256
 
@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Repeated rows with the same id and the same text collapse to one.  Rows with a null id are compared
     like any other.
     """
-    groups = exact_groups(docs, id_col, text_col)
+    groups = stored(exact_groups(docs, id_col, text_col), "exact-groups")
     lost = groups.where("NOT kept").select(F.col("id").alias("__lost")).distinct()
     kept = docs.join(small_or_shuffled(lost), F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
     twice = groups.where("kept AND group_size > 1").groupBy("id").count().where("count > 1").select(F.col("id").alias("__twice"))

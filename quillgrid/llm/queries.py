@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, exact, langid, packing, sharding, simhash, warc
+from quillgrid.llm import chat, decontam, exact, langid, packing, sharding, simhash, warc
 from quillgrid.llm.util import stored
 
 
@@ -58,6 +58,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op6_exact_dedup, op7_packing, op8_warc, op9_chat_format)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.find_leaks(_documents(spark, sf_dir).select("doc_id", "text"), benchmark).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op6_exact_dedup, op7_packing, op8_warc, op9_chat_format, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
