@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontam, exact, langid, packing, pitman_yor, sharding, simhash, warc
+from quillgrid.llm import chat, decontam, exact, langid, packing, pitman_yor, sharding, simhash, suffix, warc
 from quillgrid.llm.util import stored
 
 
@@ -39,6 +39,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
 def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     out = pitman_yor.score(_documents(spark, sf_dir).select("doc_id", "text"), held_out)
@@ -70,6 +74,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_documents(spark, sf_dir).select("doc_id", "text"), benchmark).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op5_pitman_yor, op6_exact_dedup, op7_packing, op8_warc, op9_chat_format, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_simhash, op4_suffix_dedup, op5_pitman_yor, op6_exact_dedup, op7_packing, op8_warc, op9_chat_format, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL}
