@@ -21,7 +21,9 @@ from quillgrid.llm.util import small_or_shuffled, stored
 WINDOW, STRIDE = 48, 24
 #: Buckets of the document-frequency table; its size does not depend on the corpus.
 BUCKETS = 1 << 16
-RANK, OVERSAMPLE = 48, 16
+RANK, OVERSAMPLE = 32, 8
+#: A word held by more than one document in so many (in a small corpus: an eighth of all) is a stop word.
+COMMON = 50.0
 #: Cosine from which a passage is a candidate.
 MIN_COSINE = 0.35
 #: A candidate is a leak if this share of the item's words is a common subsequence, or the lower share with the answer.
@@ -101,7 +103,9 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log((n + 1) / (df + 1)) + 0.05
+    """log(n / df), less the value of a word that one document in COMMON holds: more common words weigh nothing."""
+    common = min(COMMON, max(1.0, (n + 1) / 8))
+    return np.maximum(np.log((n + 1) / (df + 1)) - np.log(common), 0)
 
 
 @dataclass
@@ -134,7 +138,7 @@ def passages(w: T.Words, weight: np.ndarray, known: np.ndarray) -> Passages:
 
 def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Sums of rows start..end of ``values`` for each passage."""
-    total = np.zeros((len(values) + 1, values.shape[1]), np.float64)
+    total = np.zeros((len(values) + 1, values.shape[1]), values.dtype)
     np.cumsum(values, 0, out=total[1:])
     return total[end] - total[start]
 
@@ -156,7 +160,7 @@ def latent_basis(docs: DataFrame, text_col: str, items: Items, idf: np.ndarray,
                 term = items.terms(w.hashes)
                 weight = idf[bucket(w.hashes)]
                 p = passages(w, weight, term >= 0)
-                ours = np.flatnonzero(term >= 0)
+                ours = np.flatnonzero((term >= 0) & (weight > 0))
                 if not len(ours):
                     continue
                 term, weight = term[ours], weight[ours].astype(np.float32)
@@ -247,7 +251,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 able = np.flatnonzero(p.share >= min_cosine**2)
                 if not len(able):
                     continue
-                ours = np.flatnonzero(term >= 0)
+                ours = np.flatnonzero((term >= 0) & (weight > 0))
                 lo, hi = np.searchsorted(ours, p.start[able]), np.searchsorted(ours, p.end[able])
                 words_of = np.concatenate([ours[x:y] for x, y in zip(lo, hi)])
                 sizes = hi - lo
