@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quillgrid.queries import relations, scalars
+from quillgrid.queries.base import Catalog
+
+_catalog = Catalog()
+for _module in (relations, scalars):
+    _module.register(_catalog)
+
+QUERIES, ORACLE_SQL = _catalog.queries, _catalog.sql
