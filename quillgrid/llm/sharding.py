@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from dataclasses import dataclass
 
@@ -57,7 +58,7 @@ def fill(ring: Ring, loads: dict[int, int], slack: float = SLACK) -> list[tuple[
     cell is cut only where a shard fills up, and no shard is given more than its bound.
     """
     total = sum(loads.values())
-    bound = -(-int(total * (1 + slack)) // ring.shards) + 1
+    bound = math.ceil(total * (1 + slack) / ring.shards)
     room = [bound] * ring.shards
     pieces = []
     for cell, order in enumerate(ring.clockwise()):
