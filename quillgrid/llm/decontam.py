@@ -22,8 +22,8 @@ WINDOW, STRIDE = 48, 24
 #: Buckets of the document-frequency table; its size does not depend on the corpus.
 BUCKETS = 1 << 16
 RANK, OVERSAMPLE = 32, 8
-#: A word held by more than one document in so many (in a small corpus: an eighth of all) is a stop word.
-COMMON = 50.0
+#: A word held by more than one document in so many (fewer in a corpus under 80) is a stop word.
+COMMON = 10.0
 #: Cosine from which a passage is a candidate.
 MIN_COSINE = 0.35
 #: A candidate is a leak if this share of the item's words is a common subsequence, or the lower share with the answer.
@@ -103,9 +103,9 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    """log(n / df), less the value of a word that one document in COMMON holds: more common words weigh nothing."""
-    common = min(COMMON, max(1.0, (n + 1) / 8))
-    return np.maximum(np.log((n + 1) / (df + 1)) - np.log(common), 0)
+    """log(n / df) squared, so that rare words decide; stop words weigh nothing."""
+    idf = np.log((n + 1) / (df + 1))
+    return np.where(idf > np.log(min(COMMON, max(1.0, (n + 1) / 8))), idf**2, 0)
 
 
 @dataclass

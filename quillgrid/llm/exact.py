@@ -8,14 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import ascii_lower, small_or_shuffled, stored
+from quillgrid.llm.util import ascii_lower, pieces_of, small_or_shuffled, stored
 
 PREFIX_CHARS = 256
 
 
 def _full_hash(batches):
     """(id, text, survives, wanted) -> (id, survives, text_sha256); only wanted texts are read."""
-    for b in batches:
+    for b in pieces_of(batches):
         texts, wanted = b.column("text").to_pylist(), b.column("wanted").to_pylist()
         sha = [hashlib.sha256((t or "").encode().lower()).hexdigest() if w else None for t, w in zip(texts, wanted)]
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("survives"), pa.array(sha, pa.string())], ["id", "survives", "text_sha256"])

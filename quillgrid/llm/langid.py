@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.llm.util import pieces_of
+
 #: The classifier is fitted on at most this many labelled rows a language, none longer than SAMPLE_CHARS.
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
@@ -43,11 +45,12 @@ def gram_codes(data: bytes) -> np.ndarray:
 ORDERS = (0xFFFFFF, 0xFFFF00, 0xFF0000)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _table(vocabulary: bytes) -> np.ndarray:
-    table = np.full(1 << 24, -1, np.int32)
     codes = np.frombuffer(vocabulary, np.int32)
-    table[codes] = np.arange(len(codes), dtype=np.int32)
+    kind = np.int16 if len(codes) < 1 << 15 else np.int32
+    table = np.full(1 << 24, -1, kind)
+    table[codes] = np.arange(len(codes), dtype=kind)
     return table
 
 
@@ -137,7 +140,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             lang, score = _judged(b.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
@@ -149,7 +152,7 @@ def filter_language(docs: DataFrame, model: Model | None, text_col: str = "text"
     """``docs`` (all columns) without the rows that are ``und`` or, if given, outside ``languages``."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces_of(batches):
             lang, _ = _judged(b.column(text_col).to_pylist(), model)
             keep = [x != UNDETERMINED and (languages is None or x in languages) for x in lang]
             yield b.filter(pa.array(keep, pa.bool_()))

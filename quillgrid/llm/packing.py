@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.util import pieces_of
+
 CAPACITY = 2048
 #: Pieces in a packing group, on average; the number of groups grows with the input.
 GROUP_PIECES = 4096
@@ -28,7 +30,7 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def tokenizer(path: str):
     """text list -> list of id lists, equal to ``tokenizers`` on the file at ``path`` with add_special_tokens=False.
 
@@ -42,10 +44,14 @@ def tokenizer(path: str):
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
-    fast, exact = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
+    fast, exact = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), []
 
     def encode(text: str) -> list[int]:
-        return exact.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast.encode_ordinary(text)
+        if SPECIAL not in text:
+            return fast.encode_ordinary(text)
+        if not exact:
+            exact.append(Tokenizer.from_file(path))
+        return exact[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -96,7 +102,7 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def pieces(batches):
         encode = tokenizer(path)
-        for b in batches:
+        for b in pieces_of(batches):
             out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": [], "ids": []}
             doc_ids = b.column("id").to_pylist()
             for doc_id, text in zip(doc_ids, b.column("text")):
@@ -131,8 +137,10 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROU
     salt = F.monotonically_increasing_id()
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), salt, *[F.col(c) for c in names]), F.lit(groups)).cast("long"))
 
+    order = [f.name for f in pieces.schema if f.dataType.typeName() != "array"]
+
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable")
+        pdf = pdf.sort_values(order, kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         out = pdf[names].copy()
         out["sequence_id"] = (pdf["__group"].to_numpy(np.int64) << 32) | bins

@@ -36,7 +36,7 @@ class PrefixHash:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        power, self.inverse = T._powers(T._round_up(n + 1))
+        power, self.inverse = T._powers(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
         np.cumsum(T._byte_values()[data] * power[:n], out=self.total[1:])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a text is never cut, so a longer one makes a larger slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _WHITE = (9, 10, 11, 12, 13, 32)
@@ -21,20 +21,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse, at least ``n`` of each."""
-
-    def table(base: int) -> np.ndarray:
-        out = np.ones(n, np.uint64)
-        out[1:] = np.uint64(base)
-        return np.cumprod(out)
+_tables: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
-    return table(_BASE), table(_BASE_INVERSE)
 
-
-def _round_up(n: int) -> int:
-    return 1 << max(12, n.bit_length())
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse, at least ``n`` of each; one pair of tables, made longer when needed."""
+    if len(_tables[0]) < n:
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            table = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+            table[0] = 1
+            _tables[k] = np.cumprod(table)
+    return _tables[0], _tables[1]
 
 
 @lru_cache(maxsize=1)
@@ -78,7 +75,7 @@ def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Words:
     last[bounds] = True
     finishes = inside & (last[1:] | ~np.r_[inside[1:], False][:n])
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    power, inverse = _powers(_round_up(n + 1))
+    power, inverse = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[data] * power[:n], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))

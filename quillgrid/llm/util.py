@@ -49,3 +49,10 @@ def ascii_lower(col):
 
 def number_of_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def pieces_of(batches, rows: int = 1024):
+    """The record batches in stretches of at most ``rows`` rows (no copies), so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
