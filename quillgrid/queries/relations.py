@@ -165,7 +165,7 @@ def register_lookups(k: Catalog) -> None:
     k.add("xlookup_next_smaller", lambda s, d: L.XLOOKUP(priced(s, d), "l_extendedprice", bands(s), "floor", ["band"], -1), asof.format("band", ">="))
     k.add("xlookup_next_larger", lambda s, d: L.XLOOKUP(priced(s, d), "l_extendedprice", bands(s), "floor", ["band"], 1), asof.format("band", "<="))
     k.add("match_1", lambda s, d: L.MATCH(priced(s, d), "l_extendedprice", bands(s), "floor", "spot", 1), asof.format("spot AS match", ">="))
-    k.add("match_minus_1", lambda s, d: L.MATCH(priced(s, d), "l_extendedprice", bands(s), "floor", "spot", -1), asof.format("spot AS match", "<="))
+    k.add("match_minus_1", lambda s, d: L.MATCH(priced(s, d), "l_extendedprice", bands(s), "floor", "spot", -1).withColumn("match", F.coalesce("match", F.lit(0))), asof.format("coalesce(spot, 0) AS match", "<="))
     k.add("xmatch", lambda s, d: L.XMATCH(priced(s, d), "l_extendedprice", bands(s), "floor", "spot", -1), asof.format("spot AS xmatch", ">="))
     k.add("match_0", lambda s, d: L.MATCH(facts(s, d), "l_partkey", read(s, d, "part").select("p_partkey", (c("p_partkey") + 1).alias("at")), "p_partkey", "at"), "SELECT l_orderkey, l_linenumber, l_partkey, p_partkey + 1 AS match FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
     k.add("index", lambda s, d: L.INDEX(read(s, d, "supplier").select("s_suppkey", F.expr("s_nationkey + 1").alias("at_row")), "at_row", read(s, d, "nation").select((c("n_nationkey") + 1).alias("pos"), "n_name"), "pos"), "SELECT s_suppkey, s_nationkey + 1 AS at_row, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
@@ -265,3 +265,10 @@ def register_flows(k: Catalog) -> None:
         "WITH l AS (SELECT c_custkey, (c_nationkey + 1) / 1000.0::DOUBLE AS r, CAST(c_custkey % 24 + 6 AS INTEGER) AS n FROM customer), p AS (SELECT *, 10000 * pow(1 + r, n) * r / (pow(1 + r, n) - 1) AS p FROM l), m AS (SELECT *, CAST(unnest(range(1, n + 1)) AS INTEGER) AS month FROM p), b AS (SELECT *, 10000 * pow(1 + r, month - 1) - p * (pow(1 + r, month - 1) - 1) / r AS b FROM m) SELECT c_custkey, month, round(b, 4) AS begin, round(p, 4) AS payment, round(b * r, 4) AS interest, round(p - b * r, 4) AS principal FROM b",
     )
     k.add("recurrence_growth", lambda s, d: read(s, d, "orders").select("o_orderkey", F.round(geometric(F.lit(100.0), F.lit(1.01), ["o_custkey"], [c("o_orderkey")]), 6).alias("value")), "SELECT o_orderkey, round(100 * pow(1.01, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)), 6) AS value FROM orders")
+    from quillgrid.streaming.criteria import windowed_ifs
+
+    k.add(
+        "windowed_sumifs",
+        lambda s, d: windowed_ifs(read(s, d, "events").withColumn("v", price("value")), "ts", "1 day", ["event_type"], "1 day", total=F.sum(F.when(criterion(c("value"), ">10"), c("v"))), n=F.count("*")).select(c("window_start").cast("date").cast("string").alias("day"), "event_type", F.coalesce("total", F.lit(0)).cast("double").alias("total"), "n"),
+        "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, CAST(coalesce(sum(CAST(value AS DECIMAL(18, 2))) FILTER (WHERE value > 10), 0) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1, 2",
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.functions import convert, distributions, scalar_date, scalar_finance, scalar_logic, scalar_math, scalar_text  # noqa: F401
+from quillgrid.functions import convert, distributions, format_codes, scalar_date, scalar_finance, scalar_logic, scalar_math, scalar_text  # noqa: F401
 from quillgrid.functions.core import call
 from quillgrid.functions.scalar_date import serial
 from quillgrid.queries.base import Catalog, c
@@ -115,6 +115,10 @@ def register(k: Catalog) -> None:
     customer("dollar", lambda: call("DOLLAR", x(), 0), f"CASE WHEN {X} < 0 AND floor(abs({X}) + 0.5) > 0 THEN '($' || format('{{:,}}', CAST(floor(abs({X}) + 0.5) AS BIGINT)) || ')' ELSE '$' || format('{{:,}}', CAST(floor(abs({X}) + 0.5) AS BIGINT)) END", "string")
     customer("address", lambda: call("ADDRESS", c("c_custkey"), c("c_nationkey") + 1), "CASE WHEN c_custkey > 0 THEN '$' || chr(CAST(65 + c_nationkey AS INTEGER)) || '$' || c_custkey END", "string")
 
+    customer("text", lambda: call("TEXT", x(), "#,##0.00"), f"CASE WHEN {X} < 0 THEN '-' ELSE '' END || format('{{:,.2f}}', floor(abs({X}) * 100 + 0.5) / 100)", "string")
+    customer("text_percent", lambda: call("TEXT", u(), "0.0%"), f"CASE WHEN {U} < 0 AND floor(abs({U} * 1000) + 0.5) > 0 THEN '-' ELSE '' END || format('{{:.1f}}', floor(abs({U} * 100) * 10 + 0.5) / 10) || '%'", "string")
+    customer("general_text", lambda: format_codes.general_text(c("c_custkey") / 4), "CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey // 4 AS VARCHAR) ELSE CAST(c_custkey / 4.0::DOUBLE AS VARCHAR) END", "string")
+
     # dates
     S = "date_diff('day', DATE '1899-12-30', CAST(o_orderdate AS DATE))"
     s = lambda: serial(c("o_orderdate"))
@@ -158,6 +162,8 @@ def register(k: Catalog) -> None:
     orders("today", lambda: call("TODAY", "2026-03-31"), "46112")
     orders("now", lambda: call("NOW", "2026-03-31 12:00:00"), "46112.5")
 
+    orders("text_date", lambda: call("TEXT", s(), "yyyy-mm-dd"), f"strftime({D}, '%Y-%m-%d')", "string")
+
     # logic
     st = lambda: c("o_orderstatus")
     orders("if", lambda: call("IF", c("o_totalprice") > 100000, "big", "small"), "CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END", "string")
