@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillgrid.functions.core import alias, both, function, num
 from quillgrid.functions.criteria import criterion
+from quillgrid.operators.arrays import numbered
 
 
 def _agg(name: str, least: int = 1, most: int | None = -1):
@@ -261,13 +262,17 @@ def QUARTILE(x, q: float):
 alias("QUARTILE.INC", "QUARTILE")
 
 
-def _numbered(df: DataFrame, value: str, by: tuple[str, ...], descending: bool = False) -> DataFrame:
-    """Rows of numbers with their rank and their key's count; ranks by a sort within the key."""
-    v = num(F.col(value))
-    w = Window.partitionBy(*by).orderBy(v.desc() if descending else v)
-    counts = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("__n"))
-    ranked = df.where(v.isNotNull()).withColumn("__k", F.row_number().over(w)).withColumn("__v", v)
-    return ranked.join(counts, list(by)) if by else ranked.crossJoin(F.broadcast(counts))
+def _numbered(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
+    """Rows of numbers with their rank (__k), value (__v) and their key's count (__n).
+
+    With a key, ranks are a window over it; without one, rows are numbered range by range, so no task sorts them all.
+    """
+    rows = df.withColumn("__v", num(F.col(value))).where(F.col("__v").isNotNull())
+    counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
+    if not by:
+        return numbered(rows, [F.col("__v")], "__k").crossJoin(F.broadcast(counts))
+    ranked = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__v")))
+    return ranked.join(counts, list(by))
 
 
 def _kth(name: str, descending: bool):

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from quillgrid.functions.core import fold, function, num
 from quillgrid.functions.criteria import criterion
 
+#: Tables of at most this many rows are bands that each fact is held against; larger ones are merged.
+SMALL_BANDS = 256
 #: A lookup table is broadcast only if it was counted to have at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -38,11 +40,11 @@ def exact_join(facts: DataFrame, key: str, table: DataFrame, table_key: str, val
 def as_of_join(facts: DataFrame, key: str, table: DataFrame, table_key: str, values: list[str], forward: bool = False) -> DataFrame:
     """``facts`` with the ``values`` of the nearest table row at or below (``forward``: at or above) the key.
 
-    A table known to be small becomes a sorted array that each row searches; others are merged with the facts by key
-    range, each range carrying in the last table row before it, so no task orders all facts.
+    A table counted to be small becomes bands that are broadcast; others are merged with the facts by key range, each
+    range carrying in the last table row before it, so no task orders all facts.
     """
     usable = table.where(F.col(table_key).isNotNull())
-    if usable.limit(BROADCAST_ROWS // 20 + 1).count() <= BROADCAST_ROWS // 20:
+    if usable.limit(SMALL_BANDS + 1).count() <= SMALL_BANDS:
         return _as_of_small(facts, key, usable, table_key, values, forward)
     return _as_of_merge(facts, key, usable, table_key, values, forward)
 

@@ -81,3 +81,12 @@ def running_total_over_all(df: DataFrame, value: str, order: list[str], out: str
     before = sums.select("__r", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     own = F.sum(value).over(Window.partitionBy("__r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("__own", own).join(F.broadcast(before), "__r").withColumn(out, F.col("__own") + F.col("__b")).drop("__r", "__own", "__b")
+
+
+def rank_over_all(df: DataFrame, value: str, ascending: bool = False, out: str = "rank") -> DataFrame:
+    """RANK without a key at any size: distinct values are counted and their counts summed range by range, then joined
+    back; a hot value is one counted row until the join, whose skew Spark splits."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ordered = counts.withColumn("__o", F.col("__v") if ascending else -F.col("__v"))
+    ranks = running_total_over_all(ordered, "__n", ["__o"], "__through").select("__v", (F.col("__through") - F.col("__n") + 1).cast("double").alias(out))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")

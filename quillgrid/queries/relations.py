@@ -112,6 +112,7 @@ def register(k: Catalog) -> None:
     by = ("c_mktsegment",)
     exc = lambda p: f"WITH r AS (SELECT c_mktsegment, c_acctbal AS v, row_number() OVER w AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal)), t AS (SELECT *, {p} * (n + 1) AS a FROM r) SELECT c_mktsegment, round(max(CASE WHEN k = floor(a) THEN v END) + (max(a) - floor(max(a))) * (max(CASE WHEN k = floor(a) + 1 THEN v END) - max(CASE WHEN k = floor(a) THEN v END)), 4) AS value FROM t GROUP BY 1"
     k.add("percentile_exc", lambda s, d: A.PERCENTILE_EXC(read(s, d, "customer"), "c_acctbal", 0.9, by).select("c_mktsegment", F.round("percentile_exc", 4).alias("value")), exc("0.9"))
+    k.add("percentile_exc_all", lambda s, d: A.PERCENTILE_EXC(read(s, d, "customer"), "c_acctbal", 0.9).select(F.round("percentile_exc", 4).alias("value")), exc("0.9").replace("PARTITION BY c_mktsegment ORDER", "ORDER").replace("(PARTITION BY c_mktsegment)", "()").replace("SELECT c_mktsegment, round", "SELECT round").replace(" GROUP BY 1", ""))
     k.add("quartile_exc", lambda s, d: A.QUARTILE_EXC(read(s, d, "customer"), "c_acctbal", 1, by).select("c_mktsegment", F.round("quartile_exc", 4).alias("value")), exc("0.25"))
     for name, op, order in (("large", A.LARGE, "DESC"), ("small", A.SMALL, "ASC")):
         k.add(name, lambda s, d, op=op, name=name: op(read(s, d, "customer"), "c_acctbal", 3, by).select("c_mktsegment", c(name).alias("value")), f"SELECT c_mktsegment, c_acctbal AS value FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal {order}) AS k FROM customer) WHERE k = 3")
@@ -217,6 +218,7 @@ def register_windows(k: Catalog) -> None:
     for name in ("percentrank", "percentrank_inc"):
         rank(name, lambda x: K.PERCENTRANK(x, by), f"floor(percent_rank() OVER ({w} ORDER BY c_nationkey) * 1000 + 1e-9) / 1000")
     rank("percentrank_exc", lambda x: K.PERCENTRANK_EXC(x, by), f"floor(rank() OVER ({w} ORDER BY c_nationkey) / (count(*) OVER ({w}) + 1.0) * 1000 + 1e-9) / 1000")
+    k.add("rank_over_all", lambda s, d: K.rank_over_all(read(s, d, "part").select("p_partkey", "p_size"), "p_size"), "SELECT p_partkey, p_size, CAST(rank() OVER (ORDER BY p_size DESC) AS DOUBLE) AS rank FROM part")
     order = lambda: [c("o_orderkey")]
 
     def run(name, build, sql):
