@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import tokens as T
-from quillgrid.llm.util import small_or_shuffled, stored
+from quillgrid.llm.util import bound_batches, small_or_shuffled, stored
 
 #: Words of a passage and from one passage to the next.
 WINDOW, STRIDE = 48, 24
@@ -227,6 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     leak nothing; very long texts are searched whole; repeated rows give one row a copy; ties keep the best
     passage that comes first; other columns are ignored; an empty table or benchmark gives no rows.
     """
+    bound_batches(docs.sparkSession)
     items = Items.of([tuple(r) for r in benchmark.select(item_id_col, item_text_col).where(F.col(item_text_col).isNotNull()).distinct().orderBy(item_id_col, item_text_col).collect()])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     id_type, item_type = rows.schema["id"].dataType, benchmark.schema[item_id_col].dataType

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import ascii_lower, pieces_of, small_or_shuffled, stored
+from quillgrid.llm.util import ascii_lower, bound_batches, pieces_of, small_or_shuffled, stored
 
 PREFIX_CHARS = 256
 
@@ -38,6 +38,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows; repeated rows (same id, same text) share one verdict and count in group_size; an empty table
     gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     length = F.octet_length("text").alias("length")

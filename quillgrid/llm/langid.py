@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.llm.util import pieces_of
+from quillgrid.llm.util import bound_batches, pieces_of
 
 #: The classifier is fitted on at most this many labelled rows a language, none longer than SAMPLE_CHARS.
 SAMPLE_PER_LANGUAGE = 400
@@ -138,6 +138,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     Whole texts are read, however long; ties go to the first language in order; repeated rows get the same answer;
     other columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in pieces_of(batches):
@@ -150,6 +151,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 def filter_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (all columns) without the rows that are ``und`` or, if given, outside ``languages``."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in pieces_of(batches):

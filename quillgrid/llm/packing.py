@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import pieces_of
+from quillgrid.llm.util import bound_batches, pieces_of
 
 CAPACITY = 2048
 #: Pieces in a packing group, on average; the number of groups grows with the input.
@@ -98,6 +98,7 @@ def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     A null text is an empty one (its only id is the end id).
     """
+    bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches):

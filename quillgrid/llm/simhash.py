@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.components import connected_components
-from quillgrid.llm.util import number_of_partitions, small_or_shuffled, stored
+from quillgrid.llm.util import bound_batches, number_of_partitions, small_or_shuffled, stored
 
 BITS = 64
 #: Fingerprints of one key that a task compares at once; larger groups are cut into tiles of two chunks.
@@ -33,6 +33,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long.  Null and wordless texts have fingerprint 0."""
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

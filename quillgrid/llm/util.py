@@ -14,13 +14,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 100_000
 
 
+#: Temporary folders of applications that set no shared one (tests).
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = tempfile.mkdtemp(prefix="quillgrid-")
+        found = _temporary[app]
     return found.rstrip("/") if "://" in found else "file://" + found.rstrip("/")
 
 
@@ -37,6 +43,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all tables and archives that this application has stored in the shared folder; their results end with them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillgrid/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to have at most ``limit`` rows, else unchanged (a shuffle join)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -51,6 +63,19 @@ def number_of_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound Arrow batches by bytes in this session: 10,000 rows of long texts would be hundreds of megabytes in the JVM and
+    in the worker.  A smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def pieces_of(batches, rows: int = 1024):
     """The record batches in stretches of at most ``rows`` rows (no copies), so that few texts are Python objects at once."""
     for b in batches:
