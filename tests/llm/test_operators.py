@@ -500,3 +500,15 @@ def test_common_subsequence_equals_the_table():
             for j, y in enumerate(b):
                 row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
         assert decontam.common_subsequence(a, b) == row[-1]
+
+
+# --- shared folder ---------------------------------------------------------------------------------------------------
+def test_stored_tables_can_be_forgotten(spark):
+    from quillgrid.llm import util
+
+    path = util.shared_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3 and path.startswith(util.shared_dir(spark))
+    util.forget(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
