@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillgrid.llm.util import stored
+
 #: Turn numbers are cut into stretches of this length, so that a window never holds a whole hot conversation.
 STRETCH = 1024
 
@@ -85,7 +87,7 @@ def format_chats(conversations: DataFrame, conv_col="conv_id", turn_col="turn",
     identical rows count once; other columns are ignored; an empty table gives no rows.  A rendered
     conversation is one string, so it must fit in one (2 GB).
     """
-    hashes = prefix_hashes(conversations, conv_col, turn_col, role_col, text_col)
+    hashes = stored(prefix_hashes(conversations, conv_col, turn_col, role_col, text_col), "prefixes")
     verdicts = collapse(hashes)
     kept = verdicts.where("kept").select(F.col("conv_id").alias("c"))
     segments = hashes.join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")

@@ -52,7 +52,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = keyed.mapInArrow(_full_hash, f"id {id_type}, survives boolean, text_sha256 string")
     groups = hashed.where("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = groups.withColumnRenamed("text_sha256", "group_sha256")
-    out = hashed.join(groups, F.col("survives") & (F.col("text_sha256") == F.col("group_sha256")), "left")
+    #: rows that are alone have no hash; their ids spread them over the tasks of the join
+    key = F.when(F.col("survives"), F.col("text_sha256")).otherwise(F.xxhash64("id").cast("string"))
+    out = hashed.withColumn("key", key).join(groups, F.col("key") == F.col("group_sha256"), "left")
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return out.select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import tokens as T
-from quillgrid.llm.util import number_of_partitions, stored
+from quillgrid.llm.util import BATCH_BYTES, bound_batches, number_of_partitions, stored
 
 LENGTH = 100
 #: Bytes of an anchor; a window of LENGTH bytes holds LENGTH - GRAM + 1 of them.
@@ -28,7 +28,7 @@ GRAM = 36
 SYMBOL = 25
 SHARDS = 8
 #: Contexts merged at once (whole anchor groups).
-CHUNK_CONTEXTS = 4096
+CHUNK_CONTEXTS = 2048
 
 
 class PrefixHash:
@@ -206,6 +206,7 @@ def _lists(values: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, start, end): stretches of the texts of ``docs`` (id long, text) that repeat earlier ones; they may overlap."""
+    bound_batches(docs.sparkSession, 2 * BATCH_BYTES)
     parts = number_of_partitions(docs.sparkSession)
     reach = length - gram
 
