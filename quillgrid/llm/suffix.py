@@ -27,7 +27,7 @@ GRAM = 36
 #: Bytes of a symbol of the transform; it divides LENGTH.
 SYMBOL = 25
 SHARDS = 8
-#: Contexts merged at once (whole anchor groups).
+#: Contexts merged at once; larger anchor groups are cut by :func:`families`.
 CHUNK_CONTEXTS = 2048
 
 
@@ -176,6 +176,40 @@ def repeated_starts(data: np.ndarray, bounds: np.ndarray, key: np.ndarray, lengt
     return text[later], place[later]
 
 
+def _extended_key(key: np.ndarray, data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """``key`` extended by the ``width`` bytes of ``data`` from ``at`` on."""
+    values, key = T._byte_values(), T.mix(key + np.uint64(width))
+    for k in range(width):
+        key = T.mix(key ^ values[data[at + k]])
+    return key
+
+
+def families(data: np.ndarray, begin: np.ndarray, end: np.ndarray, anchor_at: np.ndarray, key: np.ndarray, length: int, reach: int, most: int):
+    """Yield (rows, first, last, keys): contexts whose windows from ``first`` to ``last`` (starts relative to the anchor) are to be compared.
+
+    Context i is ``data[begin[i]:end[i]]`` with its anchor at ``anchor_at[i]``.  All windows from a to b hold the bytes from
+    b to a + length, on which a group agrees.  A group of more than ``most`` contexts is cut: windows of the left half also
+    hold bytes before these, those of the right half bytes behind them, and windows can be equal only where these bytes
+    are.  Every cut halves the windows, so in the end a family is one window a context and its key settles it.
+    """
+    todo = [(np.arange(len(key)), key, -reach, 0)]
+    while todo:
+        rows, key, a, b = todo.pop()
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        size = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]) if len(key) else np.zeros(0, np.int64)
+        large = np.repeat(size > most, size)
+        if a == b or not large.any():
+            yield rows, a, b, key
+            continue
+        yield rows[~large], a, b, key[~large]
+        rows, key, m = rows[large], key[large], (a + b - 1) // 2
+        left = begin[rows] <= anchor_at[rows] + m
+        right = end[rows] >= anchor_at[rows] + m + 1 + length
+        todo.append((rows[left], _extended_key(key[left], data, anchor_at[rows[left]] + m, b - m), a, m))
+        todo.append((rows[right], _extended_key(key[right], data, anchor_at[rows[right]] + a + length, m + 1 - a), m + 1, b))
+
+
 def _merged(start: np.ndarray, end: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unions of intervals by group; touching ones join."""
     if not len(start):
@@ -258,9 +292,9 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
     settled = stored(docs.mapInArrow(select, lists).groupBy("part").applyInArrow(settle, "id long, start long, end long, anchor long"), "spans")
 
     def extract(batches):
-        """(part, anchor, id, place, context bytes) of the places that are to be compared."""
+        """(part, anchor, id, anchor's place, context's place, context bytes) of the places that are to be compared."""
         for b in batches:
-            out = {"part": [], "anchor": [], "id": [], "from": [], "bytes": []}
+            out = {"part": [], "anchor": [], "id": [], "place": [], "from": [], "bytes": []}
             for doc, text, wanted in zip(b.column("id").to_pylist(), b.column("text"), b.column("wanted")):
                 data = text.as_py().encode()
                 for anchor, place in zip(wanted.values.field("anchor").to_pylist(), wanted.values.field("start").to_pylist()):
@@ -268,36 +302,47 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataF
                     out["part"].append(anchor % parts)
                     out["anchor"].append(anchor)
                     out["id"].append(doc)
+                    out["place"].append(place)
                     out["from"].append(lo)
                     out["bytes"].append(data[lo : place + length])
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("part", pa.int64()), ("anchor", pa.int64()), ("id", pa.int64()), ("from", pa.int64()), ("bytes", pa.binary()))], ["part", "anchor", "id", "from", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("part", pa.int64()), ("anchor", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("from", pa.int64()), ("bytes", pa.binary()))], list(out))
 
     def compare(table: pa.Table) -> pa.Table:
-        anchor = table.column("anchor").to_numpy()
-        ids, start = table.column("id").to_numpy(), table.column("from").to_numpy()
+        ids, start, place = (table.column(c).to_numpy() for c in ("id", "from", "place"))
         texts = table.column("bytes").combine_chunks()
-        texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-        order = np.argsort(anchor, kind="stable")
-        a = anchor[order]
-        cut = np.r_[np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)]
-        found, i = [], 0
-        while i < len(cut) - 1:
-            j = max(i + 1, int(np.searchsorted(cut, cut[i] + CHUNK_CONTEXTS, "right")) - 1)
-            rows = order[cut[i] : cut[j]]
-            i = j
-            taken = texts.take(pa.array(rows))
-            offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1].astype(np.int64)
-            data = np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            #: the order of texts, then the place in them: ids become ranks so that both fit in a long
-            rank = np.unique(ids[rows], return_inverse=True)[1].astype(np.int64)
-            text, place = repeated_starts(data, offsets - offsets[0], (rank << 40) + start[rows], length)
-            begin = start[rows][text] + place
-            found.append(_merged(begin, begin + length, ids[rows][text]))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
+        anchor_at = offsets[:-1] + place - start
+        #: ids become ranks so that the order of texts and the place in them fit in a long
+        earlier = (np.unique(ids, return_inverse=True)[1].astype(np.int64) << 40) + start
+        found = []
+        for rows, first, last, key in families(data, offsets[:-1], offsets[1:], anchor_at, table.column("anchor").to_numpy().view(np.uint64), length, reach, CHUNK_CONTEXTS):
+            lo, hi = np.maximum(offsets[rows], anchor_at[rows] + first), np.minimum(offsets[rows + 1], anchor_at[rows] + last + length)
+            shift = lo - offsets[rows]
+            if first == last:
+                # one window a context, of equal bytes where the keys are equal
+                order, later = _first_of_equal(key, key, earlier[rows] + shift, np.zeros(len(rows), np.int64))
+                again = order[later]
+                begin = (start[rows] + shift)[again]
+                found.append(_merged(begin, begin + length, ids[rows][again]))
+                continue
+            cut = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+            i = 0
+            while i < len(cut) - 1:
+                j = max(i + 1, int(np.searchsorted(cut, cut[i] + CHUNK_CONTEXTS, "right")) - 1)
+                here = slice(cut[i], cut[j])
+                i = j
+                size = hi[here] - lo[here]
+                bounds = np.r_[0, np.cumsum(size)]
+                part = data[np.repeat(lo[here] - bounds[:-1], size) + np.arange(bounds[-1])]
+                origin = start[rows[here]] + shift[here]
+                text, at = repeated_starts(part, bounds, earlier[rows[here]] + shift[here], length)
+                found.append(_merged(origin[text] + at, origin[text] + at + length, ids[rows[here]][text]))
         group, begin, end = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
         return pa.table({"id": group.astype(np.int64), "start": begin.astype(np.int64), "end": end.astype(np.int64)})
 
     wanted = settled.where("anchor IS NOT NULL").groupBy("id").agg(F.collect_list(F.struct("anchor", "start")).alias("wanted"))
-    contexts = docs.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id") == F.col("wanted_id")).select("id", "text", "wanted").mapInArrow(extract, "part long, anchor long, id long, `from` long, bytes binary")
+    contexts = docs.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id") == F.col("wanted_id")).select("id", "text", "wanted").mapInArrow(extract, "part long, anchor long, id long, place long, `from` long, bytes binary")
     compared = contexts.groupBy("part").applyInArrow(compare, "id long, start long, end long")
     return settled.where("anchor IS NULL").select("id", "start", "end").unionByName(compared)
 

@@ -214,7 +214,9 @@ def test_repeats_equal_brute_force(spark, sf):
     assert got == plain_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_repeats_in_hard_texts(spark):
+@pytest.mark.parametrize("most", [suffix.CHUNK_CONTEXTS, 2])
+def test_repeats_in_hard_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix, "CHUNK_CONTEXTS", most)  # small: anchor groups are cut into families
     rng = random.Random(1)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(180))
     docs = [(1, "x" * 500), (2, "x" * 99), (3, "x" * 100), (4, "ab" * 300), (5, None), (6, "")]
