@@ -70,15 +70,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows whose text equals that of a row with a larger id (all columns kept).
 
     Repeated rows with the same id and the same text collapse to one.  Rows with a null id are compared
-    like any other.
+    like any other; a row goes by its own text, whatever other rows of its id hold.
     """
     groups = stored(exact_groups(docs, id_col, text_col), "exact-groups")
-    lost = groups.where("NOT kept").select(F.col("id").alias("__lost")).distinct()
-    kept = docs.join(small_or_shuffled(lost), F.col(id_col).eqNullSafe(F.col("__lost")), "left_anti")
-    twice = groups.where("kept AND group_size > 1").groupBy("id").count().where("count > 1").select(F.col("id").alias("__twice"))
+    shared = groups.where("group_size > 1")
+    # only ids of shared texts need a second look, and of those each row is judged by its own text
+    ids = shared.select(F.col("id").alias("__id")).distinct()
+    ids = small_or_shuffled(ids)
+    touched = F.col(id_col).eqNullSafe(F.col("__id"))
+    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    candidates = stored(docs.join(ids, touched, "left_semi").withColumn("__sha", digest), "exact-candidates")
+    lost = small_or_shuffled(shared.where("NOT kept").select(F.col("id").alias("__lost"), F.col("text_sha256").alias("__lost_sha")).distinct())
+    kept = candidates.join(lost, F.col(id_col).eqNullSafe(F.col("__lost")) & (F.col("__sha") == F.col("__lost_sha")), "left_anti")
+    twice = shared.where("kept").groupBy("id", "text_sha256").count().where("count > 1").select(F.col("id").alias("__twice"), F.col("text_sha256").alias("__twice_sha"))
     twice = small_or_shuffled(twice)
-    again = kept.join(twice, F.col(id_col).eqNullSafe(F.col("__twice")), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, F.col(id_col).eqNullSafe(F.col("__twice")), "left_anti").unionByName(again)
+    again = F.col(id_col).eqNullSafe(F.col("__twice")) & (F.col("__sha") == F.col("__twice_sha"))
+    once = kept.join(twice, again, "left_semi").dropDuplicates([id_col, "__sha"])
+    return docs.join(ids, touched, "left_anti").unionByName(kept.join(twice, again, "left_anti").unionByName(once).drop("__sha"))
 
 
 ORACLE_SQL = f"""
