@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 TF-IDF passages of all documents are projected onto a latent space found by a distributed randomised SVD; passages whose
-cosine to a benchmark item is high are compared with it by longest common subsequence and by its answer (its last words).
+cosine to a benchmark item is high, or that hold two or three consecutive words of it, are compared with it by longest common
+subsequence and by its answer (its last words).
 """
 
 from __future__ import annotations
@@ -52,6 +53,22 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+def gram_size(length: int) -> int:
+    """Consecutive words that any copy of an item of ``length`` words keeps if it drops or replaces as much as a leak may.
+
+    Without three kept words in a row at most length - length // 3 are kept; where that is a leak, two in a row must do.
+    The lower share needs the whole answer, which is longer.
+    """
+    return min(length, 3 if length - length // 3 < MIN_LCS * length else 2)
+
+
+def gram_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        out = T.mix(out * np.uint64(0x9FB21C651E98DF25) + hashes[at + k])
+    return out
+
+
 @dataclass
 class Items:
     """Benchmark items as word hashes, and their vocabulary (sorted)."""
@@ -75,6 +92,20 @@ class Items:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def grams(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, hashes, item indexes) of the items' runs of words of each size, sorted by hash."""
+        found: dict[int, list[np.ndarray]] = {}
+        for i, w in enumerate(self.words):
+            size = gram_size(len(w))
+            hashes = np.unique(gram_hashes(w, np.arange(len(w) - size + 1), size))
+            found.setdefault(size, []).append(np.stack([hashes, np.full(len(hashes), i, np.uint64)]))
+        out = []
+        for size, parts in sorted(found.items()):
+            hashes, item = np.concatenate(parts, axis=1)
+            order = np.argsort(hashes, kind="stable")
+            out.append((size, hashes[order], item[order].astype(np.int64)))
+        return out
+
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64)
@@ -215,6 +246,31 @@ def blocks_of(items: Items, basis: np.ndarray, idf: np.ndarray, block: int = ITE
     return out
 
 
+def gram_candidates(w: T.Words, term: np.ndarray, p: Passages, grams: list[tuple[int, np.ndarray, np.ndarray]]) -> set[tuple[int, int]]:
+    """(passage, item) for the passages in which a run of an item's words begins, however common its words are."""
+    found: set[tuple[int, int]] = set()
+    known = term >= 0
+    n = w.per_doc
+    first, passage = np.cumsum(n) - n, np.searchsorted(p.doc, np.arange(w.n_docs))
+    last = np.searchsorted(p.doc, np.arange(w.n_docs), "right") - 1
+    for size, hashes, item in grams:
+        ok = known[: max(0, len(known) - size + 1)].copy()
+        for k in range(1, size):
+            ok &= known[k : k + len(ok)] & (w.doc[k : k + len(ok)] == w.doc[: len(ok)])
+        at = np.flatnonzero(ok)
+        h = gram_hashes(w.hashes, at, size)
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+        hit = np.flatnonzero(hi > lo)
+        at, lo, sizes = at[hit], lo[hit], (hi - lo)[hit]
+        where = np.repeat(at, sizes)
+        which = item[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(where))]
+        doc = w.doc[where]
+        k = np.minimum(passage[doc] + (where - first[doc]) // STRIDE, last[doc])
+        pairs = np.unique(k.astype(np.int64) * (int(item.max()) + 1) + which)
+        found.update(zip((pairs // (int(item.max()) + 1)).tolist(), (pairs % (int(item.max()) + 1)).tolist()))
+    return found
+
+
 SCHEMA = "item_id {item}, first_word long, cosine double, lcs double, answer boolean"
 
 
@@ -223,7 +279,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     The benchmark is a stated set of items (collected; it is the query set); documents are read in three passes over all
     of them: document frequencies, the SVD, the search.  A passage cannot reach a cosine above the root of its weight's
-    share on benchmark words, so those below are not projected: a bound, not a sample.  Null and empty texts and items
+    share on benchmark words, so those below are not projected: a bound, not a sample.  A passage in which a run of an item's
+    words begins (see ``gram_size``) is a candidate whatever its cosine: stop words weigh nothing, but hide no item.  Null and empty texts and items
     leak nothing; very long texts are searched whole; repeated rows give one row a copy; ties keep the best
     passage that comes first; other columns are ignored; an empty table or benchmark gives no rows.
     """
@@ -238,7 +295,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     df, n = document_frequencies(rows, "text")
     idf = inverse_frequencies(df, n)
     blocks = blocks_of(items, latent_basis(rows, "text", items, idf), idf)
-    item_words = [w.tolist() for w in items.words]
+    item_words, grams = [w.tolist() for w in items.words], items.grams()
+    vectors = item_vectors(items, idf)
 
     def search(batches):
         table = word_table()
@@ -249,33 +307,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 term = items.terms(w.hashes)
                 weight = idf[bucket(w.hashes)]
                 p = passages(w, weight, term >= 0)
+                candidates = gram_candidates(w, term, p, grams)
                 able = np.flatnonzero(p.share >= min_cosine**2)
-                if not len(able):
-                    continue
-                ours = np.flatnonzero((term >= 0) & (weight > 0))
-                lo, hi = np.searchsorted(ours, p.start[able]), np.searchsorted(ours, p.end[able])
-                words_of = np.concatenate([ours[x:y] for x, y in zip(lo, hi)])
-                sizes = hi - lo
-                ends = np.cumsum(sizes)
+                if len(able):
+                    ours = np.flatnonzero((term >= 0) & (weight > 0))
+                    lo, hi = np.searchsorted(ours, p.start[able]), np.searchsorted(ours, p.end[able])
+                    words_of = np.concatenate([ours[x:y] for x, y in zip(lo, hi)])
+                    sizes = hi - lo
+                    ends = np.cumsum(sizes)
+                    for numbers, full, q in blocks:
+                        latent = np.add.reduceat(full[term[words_of]] * weight[words_of].astype(np.float32)[:, None], ends - sizes, axis=0)
+                        cosine = (latent @ q) / p.norm[able][:, None]
+                        candidates.update((int(able[i]), int(numbers[j])) for i, j in np.argwhere(cosine >= min_cosine).tolist())
                 n_words = w.per_doc
                 first = np.cumsum(n_words) - n_words
-                for numbers, full, q in blocks:
-                    latent = np.add.reduceat(full[term[words_of]] * weight[words_of].astype(np.float32)[:, None], ends - sizes, axis=0)
-                    cosine = (latent @ q) / p.norm[able][:, None]
-                    for i, j in np.argwhere(cosine >= min_cosine).tolist():
-                        passage, item = able[i], int(numbers[j])
-                        doc = int(p.doc[passage])
-                        wanted = item_words[item]
-                        reach = len(wanted)
-                        a = max(first[doc], p.start[passage] - reach)
-                        z = min(first[doc] + n_words[doc], p.end[passage] + reach)
-                        region = w.hashes[a:z].tolist()
-                        share = common_subsequence(wanted, region) / reach
-                        tail = wanted[-ANSWER_WORDS:]
-                        answer = any(region[k : k + len(tail)] == tail for k in range(len(region) - len(tail) + 1))
-                        if share >= MIN_LCS or share >= MIN_LCS_WITH_ANSWER and answer:
-                            row = (share, answer, float(cosine[i, j]), -int(p.start[passage] - first[doc]))
-                            best[at + doc, item] = max(best.get((at + doc, item), row), row)
+                for passage, item in candidates:
+                    doc = int(p.doc[passage])
+                    wanted = item_words[item]
+                    reach = len(wanted)
+                    a = max(first[doc], p.start[passage] - reach)
+                    z = min(first[doc] + n_words[doc], p.end[passage] + reach)
+                    region = w.hashes[a:z].tolist()
+                    share = common_subsequence(wanted, region) / reach
+                    if share < MIN_LCS_WITH_ANSWER:
+                        continue
+                    tail = wanted[-ANSWER_WORDS:]
+                    answer = any(region[k : k + len(tail)] == tail for k in range(len(region) - len(tail) + 1))
+                    if share >= MIN_LCS or answer:
+                        inside = np.arange(p.start[passage], p.end[passage])
+                        inside = inside[term[inside] >= 0]
+                        cosine = float(vectors[item, term[inside]] @ weight[inside] / p.norm[passage])
+                        row = (share, answer, cosine, -int(p.start[passage] - first[doc]))
+                        best[at + doc, item] = max(best.get((at + doc, item), row), row)
             keys = sorted(best)
             arrays = [
                 ids.take(pa.array([d for d, _ in keys], pa.int64())),
