@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,11 @@ SAMPLE_CHARS = 20_000
 LANDMARKS_PER_LANGUAGE = 32
 RIDGE = 1e-3
 UNDETERMINED = "und"
+#: Score of a text that no one-versus-rest classifier claims (winning value 0); calibration may only lower it.
+UNCLAIMED = 0.5
+FOLDS = 5
+#: Normalised texts below this many bytes are a word or two: too little to tell that no language claims them.
+JUDGED_BYTES = 16
 #: Texts scored in one matrix product, and bytes after which a product is not enlarged.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 20
 
@@ -74,6 +79,8 @@ class Model:
     vocabulary: bytes
     landmarks: np.ndarray
     weights: np.ndarray
+    #: texts that score less cannot be placed
+    min_score: float = 0.0
 
     def kernel(self, x: np.ndarray) -> np.ndarray:
         """Normalised presence kernel between rows of ``x`` and the landmarks: shared grams over the root of both counts."""
@@ -101,10 +108,23 @@ def fit(texts: list[bytes], labels: list[str], landmarks_per_language: int = LAN
     return Model(languages, vocabulary, model.landmarks, w.astype(np.float32))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+def calibrated_minimum(texts: list[bytes], labels: list[str]) -> float:
+    """The least score that a labelled text gets from a model of the other folds, at most ``UNCLAIMED``."""
+    least = UNCLAIMED
+    for held in range(FOLDS):
+        rest = [i for i in range(len(texts)) if i % FOLDS != held]
+        model = fit([texts[i] for i in rest], [labels[i] for i in rest])
+        part = [t for t in texts[held::FOLDS] if len(t) >= JUDGED_BYTES]
+        for at in range(0, len(part) if model else 0, BLOCK_TEXTS):
+            least = min(least, float((model.scores(part[at : at + BLOCK_TEXTS]).max(1).min() + 1) / 2))
+    return max(0.0, least)
+
+
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, calibrate: bool = False) -> Model | None:
     """Fit on a bounded sample: of each language the ``per_language`` rows whose hashed id is smallest.
 
-    Spark limits each language within a task before it shuffles; the shuffled rows hold no text.
+    Spark limits each language within a task before it shuffles; the shuffled rows hold no text.  ``calibrate`` also sets the
+    model's ``min_score`` from folds of the sample held out in turn.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(11), id_col), id_col)
@@ -112,7 +132,9 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ids = F.broadcast(picked.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), "__n"))
     rows = usable.join(ids, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select(lang_col, text_col, "__n").collect()
     rows = sorted((r for r in rows if has_letter(r[1])), key=lambda r: (r[0], r[2], r[1]))
-    return fit([normalised(r[1]) for r in rows], [r[0] for r in rows])
+    texts, labels = [normalised(r[1]) for r in rows], [r[0] for r in rows]
+    model = fit(texts, labels)
+    return replace(model, min_score=calibrated_minimum(texts, labels)) if model and calibrate else model
 
 
 def _judged(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float]]:
@@ -150,13 +172,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
 
 def filter_language(docs: DataFrame, model: Model | None, text_col: str = "text", languages: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (all columns) without the rows that are ``und`` or, if given, outside ``languages``."""
+    """``docs`` (all columns) without the rows that are ``und``, score less than the model's ``min_score`` (unless they are
+    shorter than JUDGED_BYTES) or, if given, are outside ``languages``.  Without a model nothing can be told apart: rows with a letter stay."""
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for b in pieces_of(batches):
-            lang, _ = _judged(b.column(text_col).to_pylist(), model)
-            keep = [x != UNDETERMINED and (languages is None or x in languages) for x in lang]
+            texts = b.column(text_col).to_pylist()
+            if model is None:
+                keep = [has_letter(t) for t in texts]
+            else:
+                keep = [x != UNDETERMINED and (v >= model.min_score or len(normalised(t)) < JUDGED_BYTES) and (languages is None or x in languages) for t, x, v in zip(texts, *_judged(texts, model))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
