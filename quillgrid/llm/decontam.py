@@ -152,7 +152,7 @@ class Passages:
 
 
 def passages(w: T.Words, weight: np.ndarray, known: np.ndarray) -> Passages:
-    """Windows over whole texts.  A passage's norm is the root of its words' summed squared weights."""
+    """Windows over whole texts.  A passage's norm is that of its vector, in which a word's occurrences are summed."""
     n = w.per_doc
     first = np.cumsum(n) - n
     count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
@@ -163,8 +163,30 @@ def passages(w: T.Words, weight: np.ndarray, known: np.ndarray) -> Passages:
     square = weight.astype(np.float64) ** 2
     total = np.r_[0, np.cumsum(square)]
     ours = np.r_[0, np.cumsum(np.where(known, square, 0))]
-    whole = np.maximum(total[end] - total[start], 1e-12)
-    return Passages(start, end, doc, (ours[end] - ours[start]) / whole, np.sqrt(whole))
+    base = np.cumsum(count) - count
+    # the square of a sum: each pair of equal words adds twice their product to the passages that hold both
+    twice, twice_ours = np.zeros(len(doc)), np.zeros(len(doc))
+    weighed = np.flatnonzero(square)
+    places = np.uint64((1 << len(square).bit_length()) - 1)
+    at = (np.sort((w.hashes[weighed] & ~places) | weighed.astype(np.uint64)) & places).astype(np.int64)
+    here = np.arange(len(at))
+    for lag in range(1, WINDOW):
+        here = here[here + lag < len(at)]
+        i, j = at[here], at[here + lag]
+        near = (w.hashes[i] == w.hashes[j]) & (j - i < WINDOW) & (w.doc[i] == w.doc[j])
+        here, i, j = here[near], i[near], j[near]
+        if not len(here):
+            break
+        d = w.doc[i]
+        lo = base[d] + np.maximum(0, (j - first[d] - WINDOW) // STRIDE + 1)
+        hi = base[d] + np.minimum((i - first[d]) // STRIDE, count[d] - 1)
+        for k in range(-(-WINDOW // STRIDE)):
+            both = np.flatnonzero(lo + k <= hi)
+            passage, add = lo[both] + k, 2 * square[i[both]]
+            twice += np.bincount(passage, add, len(doc))
+            twice_ours += np.bincount(passage, np.where(known[i[both]], add, 0), len(doc))
+    whole = np.maximum(total[end] - total[start] + twice, 1e-12)
+    return Passages(start, end, doc, (ours[end] - ours[start] + twice_ours) / whole, np.sqrt(whole))
 
 
 def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -221,28 +243,38 @@ def latent_basis(docs: DataFrame, text_col: str, items: Items, idf: np.ndarray,
     return u[:, : min(rank, int((s > 1e-9 * max(s[:1].tolist() or [1])).sum()))].T
 
 
-def item_vectors(items: Items, idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows over the vocabulary."""
-    out = np.zeros((len(items.ids), len(items.vocabulary)))
+def item_passages(items: Items) -> list[tuple[int, np.ndarray]]:
+    """(item index, words): items of more than a window are cut like documents, so that no copy is too long for a passage."""
+    out = []
     for i, w in enumerate(items.words):
-        np.add.at(out[i], items.terms(w), idf[bucket(w)])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        for k in range(1 + max(0, -(-(len(w) - WINDOW) // STRIDE))):
+            out.append((i, w[k * STRIDE : k * STRIDE + WINDOW]))
+    return out
+
+
+def item_vectors(items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Item of each passage of the items, and the passages' unit TF-IDF rows over the vocabulary."""
+    parts = item_passages(items)
+    out = np.zeros((len(parts), len(items.vocabulary)))
+    for row, (_, w) in zip(out, parts):
+        np.add.at(row, items.terms(w), idf[bucket(w)])
+    return np.array([i for i, _ in parts]), out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def blocks_of(items: Items, basis: np.ndarray, idf: np.ndarray, block: int = ITEM_BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(item indexes, basis, items in it) by blocks of items.
+    """(item indexes, basis, item passages in it) by blocks of item passages.
 
     A leak of one rare passage is too small to be a leading direction of the corpus, so each block's basis is the
     corpus's, extended by what the block's own items have outside it: items lose nothing by the projection.
     """
     out = []
-    vectors = item_vectors(items, idf)
+    numbers, vectors = item_vectors(items, idf)
     for at in range(0, len(vectors), block):
         q = vectors[at : at + block]
         rest = q - (q @ basis.T) @ basis
         u, s, _ = np.linalg.svd(rest.T, full_matrices=False)
         full = np.concatenate([basis, u[:, s > 1e-6].T])
-        out.append((np.arange(at, at + len(q)), np.ascontiguousarray(full.T, np.float32), (full @ q.T).astype(np.float32)))
+        out.append((numbers[at : at + block], np.ascontiguousarray(full.T, np.float32), (full @ q.T).astype(np.float32)))
     return out
 
 
@@ -296,7 +328,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     idf = inverse_frequencies(df, n)
     blocks = blocks_of(items, latent_basis(rows, "text", items, idf), idf)
     item_words, grams = [w.tolist() for w in items.words], items.grams()
-    vectors = item_vectors(items, idf)
+    owner, vectors = item_vectors(items, idf)
+    rows_of = np.searchsorted(owner, np.arange(len(items.ids) + 1))
 
     def search(batches):
         table = word_table()
@@ -336,7 +369,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     if share >= MIN_LCS or answer:
                         inside = np.arange(p.start[passage], p.end[passage])
                         inside = inside[term[inside] >= 0]
-                        cosine = float(vectors[item, term[inside]] @ weight[inside] / p.norm[passage])
+                        mine = vectors[rows_of[item] : rows_of[item + 1]][:, term[inside]]
+                        cosine = float((mine @ weight[inside]).max() / p.norm[passage])
                         row = (share, answer, cosine, -int(p.start[passage] - first[doc]))
                         best[at + doc, item] = max(best.get((at + doc, item), row), row)
             keys = sorted(best)

@@ -1,8 +1,12 @@
 """Leaks that a cosine over weighted words cannot reach."""
 
 import random
+from collections import Counter
 
-from quillgrid.llm import decontam
+import numpy as np
+import pytest
+
+from quillgrid.llm import decontam, tokens
 
 RNG = random.Random(21)
 VOCABULARY = ["".join(RNG.choice("bcdfglmnprst") + RNG.choice("aeiou") for _ in range(RNG.randint(2, 4))) for _ in range(3000)]
@@ -33,3 +37,26 @@ def test_short_items_with_words_replaced_are_found(spark):
             w[min(3 * k + 2, len(w) - 1)] = RNG.choice(VOCABULARY)
         docs.append((i, prose(50) + " " + " ".join(w) + " " + prose(50)))
     assert {(i, i) for i, _ in items} <= pairs(spark, docs, items)
+
+
+def test_a_long_item_with_words_put_in_between_is_found(spark):
+    items = [(0, prose(800))]
+    docs = [(i, prose(200)) for i in range(100)]
+    docs.append((1000, prose(50) + " " + " ".join(f"{w} {RNG.choice(VOCABULARY)}" for w in items[0][1].split()) + " " + prose(50)))
+    assert pairs(spark, docs, items) == {(1000, 0)}
+
+
+def test_norms_equal_those_of_the_summed_words():
+    texts = [" ".join(RNG.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 30, 48, 49, 200)] + ["a " * 300]
+    data, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    w = tokens.words(data, bounds, decontam.word_table())
+    weight = (w.hashes % np.uint64(7)).astype(float)
+    known = w.hashes % np.uint64(2) == 0
+    p = decontam.passages(w, weight, known)
+    for k in range(len(p.doc)):
+        sums = Counter()
+        for i in range(p.start[k], p.end[k]):
+            sums[int(w.hashes[i])] += weight[i]
+        whole = max(sum(v * v for v in sums.values()), 1e-12)
+        assert p.norm[k] ** 2 == pytest.approx(whole)
+        assert p.share[k] == pytest.approx(sum(v * v for h, v in sums.items() if h % 2 == 0) / whole)
