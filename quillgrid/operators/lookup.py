@@ -41,9 +41,10 @@ def as_of_join(facts: DataFrame, key: str, table: DataFrame, table_key: str, val
     """``facts`` with the ``values`` of the nearest table row at or below (``forward``: at or above) the key.
 
     A table counted to be small becomes bands that are broadcast; others are merged with the facts by key range, each
-    range carrying in the last table row before it, so no task orders all facts.
+    range carrying in the last table row before it, so no task orders all facts.  Of rows with the same key the one with
+    the largest values counts, whatever the table's size.
     """
-    usable = table.where(F.col(table_key).isNotNull())
+    usable = table.where(F.col(table_key).isNotNull()).groupBy(table_key).agg(F.max(F.struct(*values)).alias("__v")).select(F.col(table_key), *[F.col("__v")[v].alias(v) for v in values if v != table_key])
     if usable.limit(SMALL_BANDS + 1).count() <= SMALL_BANDS:
         return _as_of_small(facts, key, usable, table_key, values, forward)
     return _as_of_merge(facts, key, usable, table_key, values, forward)
