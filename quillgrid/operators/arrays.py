@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,16 +18,41 @@ def _relation(name: str, least: int, most: int | None = -1):
     return function(name, least, most, kind="relation")
 
 
-def numbered(df: DataFrame, order: list[Column], position: str = "pos") -> DataFrame:
-    """Add positions from 1 in a total order without gathering all rows in one task.
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, so that all plans on it see the same partitions.
+
+    It is a checkpoint where ``spark.checkpoint.dir`` is set; elsewhere it is kept on the executors' disks, and partitions
+    that are lost are computed again by the same partitioner.
+    """
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+
+
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in ranges of a total order: __r numbers the ranges, __k the rows of each from 1.
 
-    Rows are dealt by ranges and sorted; each range is numbered on its own and offset by the counts of those before (one
-    number a range).
+    Ties are told apart by a row number, so a hot value is cut into ranges like any other.  Ranges are settled: planned
+    twice they would be cut at other samples, and rows would be lost where the two meet.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__r", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
-    offsets = counts.select("__r", "__first", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranged.join(F.broadcast(offsets), "__r").withColumn(position, F.col("__before") + F.col("__i") - F.col("__first") + 1).drop("__r", "__i", "__first", "__before")
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    keys = [*order, F.col("__tie")]
+    dealt = tied.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__i", F.monotonically_increasing_id())
+    rows = dealt.withColumns({"__r": F.shiftright("__i", 33), "__k": F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    return settled(rows.drop("__tie", "__i"))
+
+
+def before_ranges(rows: DataFrame, amount: Column) -> DataFrame:
+    """(__r, __before): the sum of ``amount``, an aggregate, over the ranges before each; one row a range."""
+    sums = rows.groupBy("__r").agg(amount.alias("__s"))
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("__r", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, order: list[Column], position: str = "pos") -> DataFrame:
+    """Add positions from 1 in a total order without gathering all rows in one task: each range is numbered on its own and
+    offset by the counts of those before."""
+    rows = ranged(df, order)
+    offsets = before_ranges(rows, F.count(F.lit(1)))
+    return rows.join(F.broadcast(offsets), "__r").select(*df.columns, (F.col("__before") + F.col("__k")).alias(position))
 
 
 @_relation("FILTER", 2, 3)

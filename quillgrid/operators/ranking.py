@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from quillgrid.functions.core import alias, function, num, trunc
+from quillgrid.operators.arrays import before_ranges, ranged
 
 
 def _w(by: tuple[str, ...]) -> WindowSpec:
@@ -76,11 +77,10 @@ def previous(x: Column, by: tuple[str, ...], order: list[Column], rows: int = 1)
 
 def running_total_over_all(df: DataFrame, value: str, order: list[str], out: str = "running") -> DataFrame:
     """A running sum without a key at any size: ranges are summed on their own and offset by those before."""
-    ranged = df.repartitionByRange(*order).withColumn("__r", F.spark_partition_id())
-    sums = ranged.groupBy("__r").agg(F.sum(value).alias("__s"))
-    before = sums.select("__r", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    own = F.sum(value).over(Window.partitionBy("__r").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__own", own).join(F.broadcast(before), "__r").withColumn(out, F.col("__own") + F.col("__b")).drop("__r", "__own", "__b")
+    rows = ranged(df, [F.col(c) for c in order])
+    own = F.sum(value).over(Window.partitionBy("__r").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("__own", own).join(F.broadcast(before_ranges(rows, F.sum(value))), "__r")
+    return joined.select(*df.columns, (F.col("__own") + F.col("__before")).alias(out))
 
 
 def rank_over_all(df: DataFrame, value: str, ascending: bool = False, out: str = "rank") -> DataFrame:
