@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -17,10 +18,11 @@ from quillgrid.llm.util import bound_batches, pieces_of
 CAPACITY = 2048
 #: Pieces in a packing group, on average; the number of groups grows with the input.
 GROUP_PIECES = 4096
-#: The pre-tokenisation pattern of the byte-level vocabulary, and its one special token (fixed values).
+#: The pattern by which a ``ByteLevel`` pre-tokenizer with ``use_regex`` parts text (fixed value; files do not repeat it).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
 END_ID = 1
+#: A run of white space of this length goes to the library: the other's pattern engine overflows its stack on half a million.
+LONG_BLANK = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -32,26 +34,33 @@ def _byte_of_char() -> dict[str, int]:
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str):
-    """text list -> list of id lists, equal to ``tokenizers`` on the file at ``path`` with add_special_tokens=False.
+    """text -> ids, equal to ``tokenizers`` on the file at ``path`` with add_special_tokens=False.
 
-    The vocabulary and merge ranks come from the file; byte-pair merging of ordinary text runs in tiktoken,
-    which is five times as fast here.  Texts that hold the special token's string go to tokenizers itself.
+    Vocabulary, merge ranks and special tokens come from the file.  Where it is a plain byte-level BPE, ordinary texts are
+    merged by tiktoken, which is five times as fast here; texts that hold a special token's string or a very long run of
+    white space, and all texts where the file is anything else, go to the library itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
 
-    byte = _byte_of_char()
+    exact = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
-    fast, exact = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), []
+        parts = json.load(f)
+    model, before = parts["model"], parts.get("pre_tokenizer") or {}
+    special = {t["content"] for t in parts.get("added_tokens", [])}
+    plain = model["type"] == "BPE" and not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return lambda text: exact.encode(text, add_special_tokens=False).ids
+    byte = _byte_of_char()
+    ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    blank = re.compile(r"\s{%d}" % LONG_BLANK)
 
     def encode(text: str) -> list[int]:
-        if SPECIAL not in text:
-            return fast.encode_ordinary(text)
-        if not exact:
-            exact.append(Tokenizer.from_file(path))
-        return exact[0].encode(text, add_special_tokens=False).ids
+        if any(s in text for s in special) or len(text) >= LONG_BLANK and blank.search(text):
+            return exact.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
 
     return encode
 
@@ -96,7 +105,8 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple
 def tokenize_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): every text's ids and an end id, cut every ``capacity`` ids.
 
-    A null text is an empty one (its only id is the end id).
+    A null or empty text has the end id only; a text of any length is read whole, and one of any shape is cut alike;
+    repeated rows have their pieces each; a null id stays null; other columns are ignored; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -130,7 +140,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROU
     Pieces are dealt to ceil(rows / group_pieces) groups by a hash of what they hold, and each group is packed on its
     own by first-fit decreasing; ``group << 32 | bin`` is the sequence id.  Groups are random, so each is a fair draw of
     lengths and none grows with the input; identical rows are told apart by their place in the partition, so that a
-    hot repeated row does not meet in one group.
+    hot repeated row does not meet in one group.  Nulls are hashed like values; pieces of equal length keep the order of
+    their columns; an empty table gives no rows.
     """
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))

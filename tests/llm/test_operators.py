@@ -357,6 +357,14 @@ def test_tokenizer_equals_the_library():
     assert all(encode(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 5_000_000 + "b", "\n" * 1_000_000, "x\r\n" * 300_000, "ab" * 2_500_000, "!" * 500_000, "7" * 500_000], ids=["blanks", "lines", "breaks", "letters", "marks", "digits"])
+def test_long_runs_are_tokenized(text):
+    from tokenizers import Tokenizer
+
+    expect = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert packing.tokenizer(tokenizer_path())(text) == expect
+
+
 def test_packing_places_every_id_once(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = QUERIES["op7_packing"](spark, sf).collect()
