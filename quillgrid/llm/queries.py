@@ -47,7 +47,7 @@ def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     out = pitman_yor.score(_documents(spark, sf_dir).select("doc_id", "text"), held_out)
     held_of = F.coalesce(F.crc32(F.col("id").cast("string")) % 7 == 2, F.lit(False))
-    return out.select(F.col("id").alias("doc_id"), held_of.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select(F.col("id").alias("doc_id"), held_of.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,32 +279,94 @@ def test_base_scores_equal_brute_force_and_model_is_better(spark, sf):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_model_is_a_distribution_over_words():
-    rng = np.random.default_rng(4)
-    words_ = np.unique(rng.integers(1, 2**62, 40).astype(np.uint64) & pitman_yor.WORD_BITS)
-    leaves = [np.unique(rng.integers(0, pitman_yor.LEAVES, 9)) for _ in words_]
-    pointers = np.r_[0, np.cumsum([len(x) for x in leaves])]
-    d = pitman_yor.Dishes(words_, pointers, np.concatenate(leaves), rng.integers(1, 60, pointers[-1]))
-    model = pitman_yor.Model(np.bincount(d.leaves, d.counts, pitman_yor.LEAVES).astype(float), len(words_), int(d.counts.sum()))
-    model.history.append(d.totals_of(d.begin()))
-    for _ in range(model.sweeps):
-        *_, s = d.replay(model, len(model.history))
-        model.history.append(d.totals_of(s))
-        assert (s.leaf_tables >= 1).all() and (s.leaf_tables <= d.counts).all() and (s.root_tables <= s.root_customers).all()
-    for leaf in (0, 3, int(d.leaves[0])):
-        p = d.probabilities(model, np.r_[np.arange(len(words_)), -1], np.full(len(words_) + 1, leaf))
-        assert p.sum() == pytest.approx(1.0, rel=1e-9) and (p > 0).all()
-
-
-def test_seating_in_parties_keeps_the_mean():
-    seed = tokens.mix(np.arange(20000, dtype=np.uint64))
-    exact_mean, n, t = 0.0, 1, np.ones(20000)
-    rng = np.random.default_rng(1)
-    for n in range(1, 400):
-        t += rng.random(20000) < 5.0 / (n - 0.5 * t + 5.0)
-    exact_mean = t.mean()
-    drawn = pitman_yor.seat(np.full(20000, 400), 0.5, np.full(20000, 5.0), seed)
-    assert abs(drawn.mean() - exact_mean) < 0.03 * exact_mean
+def fitted_counts(spark, texts):
+    """A fitted model with its pairs and words as dictionaries: counts and, for each kept sweep, tables."""
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "id long, text string, held boolean")
+    fitted = pitman_yor.fit(pitman_yor.stored(pitman_yor.blocks_of(df, "bigint"), "blocks"))
+    kept = len(fitted.model.tables)
+    pairs, words_ = {}, {}
+    for r in fitted.pairs.where("kind = 0").collect():
+        v, u, w, c = (np.frombuffer(r[k], t) for k, t in (("vocabulary", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8")))
+        t = np.frombuffer(r["history"], "<i8").reshape(kept, -1)
+        pairs |= {(int(v[u[i]]), int(v[w[i]])): (int(c[i]), t[:, i].tolist()) for i in range(len(c))}
+        sizes, tables = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["tables"], "<i8")
+        dish = np.repeat(np.arange(len(c)), tables)
+        assert (sizes >= 1).all() and (np.bincount(dish, sizes, len(c)) == c).all()
+    for r in fitted.words.where("kind = 0").collect():
+        v, n, h, k = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["history"], "u1"), 12 * r["n_words"]
+        for i in range(len(v)):
+            words_[int(v[i])] = (int(n[i]), [float(np.frombuffer(h[k * j :], "<f4", len(v))[i]) for j in range(kept)], [int(np.frombuffer(h[k * j + 4 * len(v) :], "<i8", len(v))[i]) for j in range(kept)])
+    return fitted, pairs, words_
+
+
+@pytest.mark.parametrize("block", [pitman_yor.BLOCK_TOKENS, 50])
+def test_model_equals_a_plain_version(spark, monkeypatch, block):
+    """Given the sampled tables, counts, totals and every token's probability are those of a plain dictionary version."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(pitman_yor.T, "SLICE_BYTES", 256)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = ["the " + " ".join(rng.choice(vocabulary[: rng.randint(2, 40)]) for _ in range(rng.randint(0, 60))) for _ in range(120)] + ["", "unique words only here"]
+    fitted, pairs, words_ = fitted_counts(spark, texts)
+    m, end = fitted.model, int(pitman_yor.END)
+    tokens_of = lambda t: [*(tokens.hash_word(w) for w in words(t)), end]
+    bigrams = Counter(p for t in texts for p in zip([end, *tokens_of(t)], tokens_of(t)))
+    counts = Counter(x for t in texts for x in tokens_of(t))
+    assert {k: v[0] for k, v in words_.items()} == counts and m.vocabulary == len(counts) and m.train_tokens == sum(counts.values())
+    assert {k: v[0] for k, v in pairs.items()} == {k: n for k, n in bigrams.items() if n >= 2}
+    d, d0, s = m.discount, m.root_discount, m.strength
+
+    def root(w, k):
+        return ((words_[w][1][k] if w in words_ else 0) + (s + d0 * m.tables[k]) / (m.vocabulary + 1)) / (m.customers[k] + s)
+
+    def probability(u, w):
+        total = 0
+        for k in range(len(m.tables)):
+            c, t = bigrams[u, w], pairs[u, w][1][k] if (u, w) in pairs else min(bigrams[u, w], 1)
+            served = sum(pairs[p][1][k] if p in pairs else 1 for p in bigrams if p[0] == u)
+            total += (c - d * t + (s + d * served) * root(w, k)) / (counts[u] + s)
+        return total / len(m.tables)
+
+    for k in range(len(m.tables)):
+        customers = {w: sum(pairs[p][1][k] if p in pairs else 1 for p in bigrams if p[1] == w) for w in counts}
+        assert m.customers[k] == sum(customers.values())
+        assert sum(root(w, k) for w in counts) + root(-1, k) == pytest.approx(1, abs=1e-6)
+    for u in [end, *list(counts)[:5]]:
+        assert sum(probability(u, w) for w in [*counts, -1]) == pytest.approx(1, abs=1e-6)
+    held = ["the w1 w2 w2 never w3", "w39 w38", ""]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(held))], "doc_id long, text string")
+    got = {r["id"]: r for r in pitman_yor.score(rows, F.col("doc_id") >= 1000).collect()}
+    for i, t in [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(held))]:
+        expect = sum(log10(probability(u, w)) for u, w in zip([end, *tokens_of(t)], tokens_of(t)))
+        # the fit draws by hashes: the same texts give the same seats
+        assert got[i]["score"] == pytest.approx(expect, rel=1e-5), t
+        assert got[i]["perplexity"] == pytest.approx(10 ** (-got[i]["score"] / got[i]["n_tokens"]))
+    fitted.close()
+
+
+def test_gibbs_moves_reach_the_distribution_of_seats():
+    """Three customers of one dish: the chain's seatings have the frequencies of the Chinese restaurant."""
+    d, new, n = 0.5, 0.7, 60000
+    # weights of 1, 2 and 3 tables: products of what each customer meets
+    weight = {1: (1 - d) * (2 - d), 2: new * (1 - d) + (1 - d) * new + new * (1 - d), 3: new * new}
+    customers, tables, sizes = np.full(n, 3), np.ones(n, np.int64), np.full(n, 3)
+    for sweep in range(12):
+        tables, sizes = pitman_yor.gibbs(customers, tables, sizes, d, np.full(n, new), tokens.mix(np.arange(n, dtype=np.uint64) + np.uint64(sweep * 1000003)))
+    for t in (1, 2, 3):
+        assert (tables == t).mean() == pytest.approx(weight[t] / sum(weight.values()), abs=0.01)
+
+
+def test_a_document_that_occurs_twice_scores_apart(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    docs = [" ".join(word() for _ in range(40)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate([*docs, *docs[:20]])]
+    got = {r["id"]: r["score"] / r["n_tokens"] for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 200))
 
 
 def test_scoring_edge_cases(edge, spark):
