@@ -48,7 +48,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path, before = shared_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

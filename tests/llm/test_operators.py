@@ -286,14 +286,14 @@ def fitted_counts(spark, texts):
     kept = len(fitted.model.tables)
     pairs, words_ = {}, {}
     for r in fitted.pairs.where("kind = 0").collect():
-        v, u, w, c = (np.frombuffer(r[k], t) for k, t in (("vocabulary", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8")))
-        t = np.frombuffer(r["history"], "<i8").reshape(kept, -1)
+        v, u, w, c = (pitman_yor._one(r[k], t) for k, t in (("vocabulary", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8")))
+        t = pitman_yor._one(r["history"], "<i8").reshape(kept, -1)
         pairs |= {(int(v[u[i]]), int(v[w[i]])): (int(c[i]), t[:, i].tolist()) for i in range(len(c))}
-        sizes, tables = np.frombuffer(r["sizes"], "<i8"), np.frombuffer(r["tables"], "<i8")
+        sizes, tables = pitman_yor._one(r["sizes"], "<i8"), pitman_yor._one(r["tables"], "<i8")
         dish = np.repeat(np.arange(len(c)), tables)
         assert (sizes >= 1).all() and (np.bincount(dish, sizes, len(c)) == c).all()
     for r in fitted.words.where("kind = 0").collect():
-        v, n, h, k = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["history"], "u1"), 12 * r["n_words"]
+        v, n, h, k = *(pitman_yor._one(r[x], y) for x, y in (("words", "<u8"), ("counts", "<i8"), ("history", "u1"))), 12 * r["n_words"]
         for i in range(len(v)):
             words_[int(v[i])] = (int(n[i]), [float(np.frombuffer(h[k * j :], "<f4", len(v))[i]) for j in range(kept)], [int(np.frombuffer(h[k * j + 4 * len(v) :], "<i8", len(v))[i]) for j in range(kept)])
     return fitted, pairs, words_
@@ -343,7 +343,6 @@ def test_model_equals_a_plain_version(spark, monkeypatch, block):
         # the fit draws by hashes: the same texts give the same seats
         assert got[i]["score"] == pytest.approx(expect, rel=1e-5), t
         assert got[i]["perplexity"] == pytest.approx(10 ** (-got[i]["score"] / got[i]["n_tokens"]))
-    fitted.close()
 
 
 def test_gibbs_moves_reach_the_distribution_of_seats():
