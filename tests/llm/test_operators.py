@@ -287,7 +287,7 @@ def fitted_counts(spark, texts):
     pairs, words_ = {}, {}
     for r in fitted.pairs.where("kind = 0").collect():
         v, u, w, c = (pitman_yor._one(r[k], t) for k, t in (("vocabulary", "<u8"), ("u", "<i4"), ("w", "<i4"), ("counts", "<i8")))
-        t = pitman_yor._one(r["history"], "<i8").reshape(kept, -1)
+        t = np.frombuffer(pitman_yor._bytes(r["history"]), "<i8").reshape(kept, -1)
         pairs |= {(int(v[u[i]]), int(v[w[i]])): (int(c[i]), t[:, i].tolist()) for i in range(len(c))}
         sizes, tables = pitman_yor._one(r["sizes"], "<i8"), pitman_yor._one(r["tables"], "<i8")
         dish = np.repeat(np.arange(len(c)), tables)
