@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-TF-IDF passages of all documents are projected onto a latent space found by a distributed randomised SVD; passages whose
-cosine to a benchmark item is high, or that hold two or three consecutive words of it, are compared with it by longest common
-subsequence and by its answer (its last words).
+A distributed randomised SVD of the corpus's TF-IDF passages over the benchmark's words gives a latent space.  Passages and
+items meet there: those with a high cosine, and those that hold two or three consecutive words of an item, are compared
+with it by longest common subsequence, by its answer (its last words) and, where words were replaced or moved, by the cosine.
 """
 
 from __future__ import annotations
@@ -16,21 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm import tokens as T
-from quillgrid.llm.util import bound_batches, small_or_shuffled, stored
+from quillgrid.llm.util import bound_batches, discard, stored
 
 #: Words of a passage and from one passage to the next.
 WINDOW, STRIDE = 48, 24
-#: Buckets of the document-frequency table; its size does not depend on the corpus.
-BUCKETS = 1 << 16
-RANK, OVERSAMPLE = 32, 8
-#: A word held by more than one document in so many (fewer in a corpus under 80) is a stop word.
+#: Buckets in which document frequencies of words outside the benchmark are kept; those of its words are exact.
+BUCKETS = 1 << 18
+#: The latent space has a dimension for each item passage, at most RANK; the SVD draws OVERSAMPLE more and iterates.
+RANK, OVERSAMPLE, ITERATIONS = 256, 16, 2
+#: A word held by more than one document in so many is a stop word.
 COMMON = 10.0
-#: Cosine from which a passage is a candidate.
-MIN_COSINE = 0.35
-#: A candidate is a leak if this share of the item's words is a common subsequence, or the lower share with the answer.
+#: Latent cosine from which a passage is a candidate, and from which the lower share of words is enough.
+MIN_COSINE = 0.3
+#: A candidate is a leak if this share of the item's words is a common subsequence, or the lower share with the answer or
+#: with that cosine.
 MIN_LCS, MIN_LCS_WITH_ANSWER = 0.7, 0.5
 ANSWER_WORDS = 5
-#: Benchmark items compared in one matrix product.
+#: The cosine replaces the answer only for items of this length: half of a few words is found anywhere.
+SURE_WORDS = 12
+#: Passages and item passages compared in one matrix product.
 ITEM_BLOCK = 512
 #: ASCII punctuation parts words, so that it does not hide a paraphrase.
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -108,35 +112,49 @@ class Items:
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
-    """Documents that hold a word of each bucket, and the number of documents.  BUCKETS numbers reach the driver."""
+@dataclass
+class Weights:
+    """Squared inverse document frequencies, so that rare words decide: of benchmark words by term, of others by bucket."""
+
+    of_term: np.ndarray
+    of_bucket: np.ndarray
+
+    def __call__(self, hashes: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return np.where(term >= 0, self.of_term[term], self.of_bucket[bucket(hashes)])
+
+
+def document_frequencies(docs: DataFrame, text_col: str, items: Items) -> tuple[np.ndarray, int]:
+    """Documents that hold each bucket's other words (BUCKETS numbers) or each benchmark word, and the number of documents."""
+    width = BUCKETS + len(items.vocabulary)
 
     def count(batches):
-        table, total, n = word_table(), np.zeros(BUCKETS, np.int64), 0
+        table, total, n = word_table(), np.zeros(width, np.int64), 0
         for b in batches:
             for _, data, bounds in T.slices(b.column(0)):
                 w = T.words(data, bounds, table)
-                pairs = np.sort(w.doc.astype(np.int64) * BUCKETS + bucket(w.hashes))
+                term = items.terms(w.hashes)
+                key = np.where(term >= 0, BUCKETS + term, bucket(w.hashes))
+                pairs = np.sort(w.doc.astype(np.int64) * width + key)
                 pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
-                total += np.bincount(pairs % BUCKETS, minlength=BUCKETS)
+                total += np.bincount(pairs % width, minlength=width)
                 n += w.n_docs
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int64()), pa.array(np.r_[total[some], n], pa.int64())], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int64()), pa.array(np.r_[total[some], n], pa.int64())], ["key", "n"])
 
-    rows = docs.select(text_col).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(BUCKETS, np.int64)
-    real = rows["bucket"].to_numpy() >= 0
-    df[rows["bucket"].to_numpy()[real]] = rows["n"].to_numpy()[real]
-    return df, int(rows["n"].to_numpy()[~real].sum())
+    rows = docs.select(text_col).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    df, key = np.zeros(width, np.int64), rows["key"].to_numpy()
+    df[key[key >= 0]] = rows["n"].to_numpy()[key >= 0]
+    return df, int(rows["n"].to_numpy()[key < 0].sum())
 
 
-def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    """log(n / df) squared, so that rare words decide; stop words weigh nothing."""
+def inverse_frequencies(df: np.ndarray, n: int) -> Weights:
+    """log(n / df) squared; stop words weigh nothing."""
     idf = np.log((n + 1) / (df + 1))
-    return np.where(idf > np.log(min(COMMON, max(1.0, (n + 1) / 8))), idf**2, 0)
+    squared = np.where(idf > np.log(COMMON), idf**2, 0)
+    return Weights(squared[BUCKETS:], squared[:BUCKETS])
 
 
 @dataclass
@@ -189,93 +207,115 @@ def passages(w: T.Words, weight: np.ndarray, known: np.ndarray) -> Passages:
     return Passages(start, end, doc, (ours[end] - ours[start] + twice_ours) / whole, np.sqrt(whole))
 
 
-def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of rows start..end of ``values`` for each passage."""
-    total = np.zeros((len(values) + 1, values.shape[1]), values.dtype)
-    np.cumsum(values, 0, out=total[1:])
-    return total[end] - total[start]
+@dataclass
+class Sparse:
+    """Rows of a sparse matrix over the benchmark's words."""
+
+    terms: np.ndarray
+    values: np.ndarray
+    sizes: np.ndarray
+
+    def __getitem__(self, rows: slice) -> Sparse:
+        ends = np.r_[0, np.cumsum(self.sizes)]
+        a, z = ends[rows.start], ends[min(rows.stop, len(self.sizes))]
+        return Sparse(self.terms[a:z], self.values[a:z], self.sizes[rows])
+
+    def times(self, dense: np.ndarray, most: int = 1 << 15) -> np.ndarray:
+        """The product with a dense matrix, some entries at a time; every row has an entry."""
+        out, ends, i = np.zeros((len(self.sizes), dense.shape[1]), np.float32), np.cumsum(self.sizes), 0
+        while i < len(self.sizes):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - self.sizes[i] + most, "right")))
+            a, z = ends[i] - self.sizes[i], ends[j - 1]
+            out[i:j] = np.add.reduceat(dense[self.terms[a:z]] * self.values[a:z, None], ends[i:j] - self.sizes[i:j] - a, axis=0)
+            i = j
+        return out
 
+    def transposed_times(self, dense: np.ndarray, width: int, most: int = 1 << 15) -> np.ndarray:
+        out, row = np.zeros((width, dense.shape[1])), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(self.terms, kind="stable")
+        for a in range(0, len(order), most):
+            at = order[a : a + most]
+            term = self.terms[at]
+            cut = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+            out[term[cut]] += np.add.reduceat(dense[row[at]] * self.values[at, None], cut, axis=0)
+        return out
 
-def latent_basis(docs: DataFrame, text_col: str, items: Items, idf: np.ndarray, rank: int = RANK, oversample: int = OVERSAMPLE, seed: int = 5) -> np.ndarray:
-    """Orthonormal rows spanning the leading right singular space of the passage matrix over benchmark words.
 
-    One pass of subspace iteration: each task multiplies its passages A with a random matrix and the result with A
-    transposed; the products are summed by word in Spark.  What reaches the driver is (benchmark words) x (rank).
-    """
-    width = rank + oversample
-    omega = np.random.default_rng(seed).standard_normal((len(items.vocabulary), width)).astype(np.float32)
+def able(w: T.Words, term: np.ndarray, weight: np.ndarray, p: Passages, min_cosine: float) -> tuple[np.ndarray, Sparse]:
+    """Passages that can reach the cosine, by the share of their weight that lies on benchmark words, and their rows."""
+    some = np.flatnonzero((p.share >= min_cosine**2) & (p.norm > 1e-6))
+    ours = np.flatnonzero((term >= 0) & (weight > 0))
+    lo, hi = np.searchsorted(ours, p.start[some]), np.searchsorted(ours, p.end[some])
+    some, lo, hi = some[hi > lo], lo[hi > lo], hi[hi > lo]
+    sizes = hi - lo
+    at = ours[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+    return some, Sparse(term[at], (weight[at] / np.repeat(p.norm[some], sizes)).astype(np.float32), sizes)
 
-    def multiply(batches):
-        table, out = word_table(), np.zeros((len(items.vocabulary), width))
+
+def able_rows(docs: DataFrame, text_col: str, items: Items, weights: Weights, min_cosine: float) -> DataFrame:
+    """The passage matrix of the whole corpus without rows that cannot reach the cosine, as (terms, data, sizes) a slice."""
+
+    def run(batches):
+        table = word_table()
         for b in batches:
             for _, data, bounds in T.slices(b.column(0)):
                 w = T.words(data, bounds, table)
                 term = items.terms(w.hashes)
-                weight = idf[bucket(w.hashes)]
-                p = passages(w, weight, term >= 0)
-                ours = np.flatnonzero((term >= 0) & (weight > 0))
-                if not len(ours):
-                    continue
-                term, weight = term[ours], weight[ours].astype(np.float32)
-                lo, hi = np.searchsorted(ours, p.start), np.searchsorted(ours, p.end)
-                y = (_sums(omega[term] * weight[:, None], lo, hi) / (p.norm**2)[:, None]).astype(np.float32)
-                # each word lies in a run of consecutive passages: the sum of their rows by differences
-                edge = np.zeros((len(ours) + 1, width), np.float32)
-                np.add.at(edge, lo, y)
-                np.subtract.at(edge, hi, y)
-                z = np.cumsum(edge[:-1], 0) * weight[:, None]
-                order = np.argsort(term, kind="stable")
-                cut = np.flatnonzero(np.r_[True, term[order][1:] != term[order][:-1]])
-                out[term[order][cut]] += np.add.reduceat(z[order], cut, axis=0)
-        some = np.flatnonzero(out.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in out[some]], pa.binary())], ["term", "row"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.groupby("term")["row"].agg(lambda rows: sum(np.frombuffer(r) for r in rows).tobytes())
-        return out.reset_index()
+                weight = weights(w.hashes, term)
+                _, m = able(w, term, weight, passages(w, weight, term >= 0), min_cosine)
+                if len(m.sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.terms.astype("<i4"), m.values.astype("<f4"), m.sizes.astype("<i4"))], ["terms", "data", "sizes"])
 
-    products = docs.select(text_col).mapInArrow(multiply, "term long, row binary")
-    got = products.groupBy((F.col("term") % 64).alias("__g")).applyInPandas(lambda pdf: add(pdf[["term", "row"]]), "term long, row binary").toPandas()
-    out = np.zeros((len(items.vocabulary), width))
-    for term, row in zip(got["term"], got["row"]):
-        out[term] = np.frombuffer(row)
-    u, s, _ = np.linalg.svd(out, full_matrices=False)
-    return u[:, : min(rank, int((s > 1e-9 * max(s[:1].tolist() or [1])).sum()))].T
+    return docs.select(text_col).mapInArrow(run, "terms binary, data binary, sizes binary")
 
 
-def item_passages(items: Items) -> list[tuple[int, np.ndarray]]:
-    """(item index, words): items of more than a window are cut like documents, so that no copy is too long for a passage."""
-    out = []
-    for i, w in enumerate(items.words):
-        for k in range(1 + max(0, -(-(len(w) - WINDOW) // STRIDE))):
-            out.append((i, w[k * STRIDE : k * STRIDE + WINDOW]))
-    return out
-
+def latent_basis(matrix: DataFrame, width: int, rank: int, oversample: int = OVERSAMPLE, iterations: int = ITERATIONS, seed: int = 5) -> np.ndarray:
+    """Orthonormal columns (width x rank) that span the leading right singular space of the passage matrix.
 
-def item_vectors(items: Items, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Item of each passage of the items, and the passages' unit TF-IDF rows over the vocabulary."""
-    parts = item_passages(items)
-    out = np.zeros((len(parts), len(items.vocabulary)))
-    for row, (_, w) in zip(out, parts):
-        np.add.at(row, items.terms(w), idf[bucket(w)])
-    return np.array([i for i, _ in parts]), out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    Randomised subspace iteration: each task multiplies its rows A with the current directions and the result with A
+    transposed; Spark adds the products by word.  What reaches the driver is (benchmark words) x (rank + oversample).
+    """
+    directions = np.random.default_rng(seed).standard_normal((width, min(width, rank + oversample)))
 
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.groupby("term")["row"].agg(lambda rows: sum(np.frombuffer(r) for r in rows).tobytes()).reset_index()
+
+    for _ in range(1 + iterations):
+        q = directions.astype(np.float32)
+
+        def multiply(batches, q=q):
+            out = np.zeros(q.shape)
+            for b in batches:
+                for r in range(b.num_rows):
+                    m = Sparse(*(np.frombuffer(b.column(c)[r].as_buffer(), k) for c, k in (("terms", "<i4"), ("data", "<f4"), ("sizes", "<i4"))))
+                    out += m.transposed_times(m.times(q), width)
+            some = np.flatnonzero(out.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in out[some]], pa.binary())], ["term", "row"])
+
+        products = matrix.mapInArrow(multiply, "term long, row binary")
+        got = products.groupBy((F.col("term") % 64).alias("__g")).applyInPandas(lambda pdf: add(pdf[["term", "row"]]), "term long, row binary").toPandas()
+        image = np.zeros(q.shape)
+        for term, row in zip(got["term"], got["row"]):
+            image[term] = np.frombuffer(row)
+        u, s, _ = np.linalg.svd(image, full_matrices=False)
+        directions = u[:, s > 1e-9 * max(s[:1].tolist() or [1])]
+        if not directions.shape[1]:
+            break
+    return directions[:, :rank]
 
-def blocks_of(items: Items, basis: np.ndarray, idf: np.ndarray, block: int = ITEM_BLOCK) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(item indexes, basis, item passages in it) by blocks of item passages.
 
-    A leak of one rare passage is too small to be a leading direction of the corpus, so each block's basis is the
-    corpus's, extended by what the block's own items have outside it: items lose nothing by the projection.
-    """
-    out = []
-    numbers, vectors = item_vectors(items, idf)
-    for at in range(0, len(vectors), block):
-        q = vectors[at : at + block]
-        rest = q - (q @ basis.T) @ basis
-        u, s, _ = np.linalg.svd(rest.T, full_matrices=False)
-        full = np.concatenate([basis, u[:, s > 1e-6].T])
-        out.append((numbers[at : at + block], np.ascontiguousarray(full.T, np.float32), (full @ q.T).astype(np.float32)))
-    return out
+def item_passages(items: Items, weights: Weights) -> tuple[np.ndarray, Sparse]:
+    """Item of each passage of the items and the passages' unit rows: items of more than a window are cut like documents, so
+    that no copy is too long for a passage."""
+    owner, rows = [], []
+    for i, w in enumerate(items.words):
+        for k in range(1 + max(0, -(-(len(w) - WINDOW) // STRIDE))):
+            term, n = np.unique(items.terms(w[k * STRIDE : k * STRIDE + WINDOW]), return_counts=True)
+            value = weights.of_term[term] * n
+            owner.append(i)
+            rows.append((term, value / max(float(np.linalg.norm(value)), 1e-12)))
+    terms, values = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    return np.array(owner), Sparse(terms, values.astype(np.float32), np.array([len(r[0]) for r in rows]))
 
 
 def gram_candidates(w: T.Words, term: np.ndarray, p: Passages, grams: list[tuple[int, np.ndarray, np.ndarray]]) -> set[tuple[int, int]]:
@@ -306,77 +346,104 @@ def gram_candidates(w: T.Words, term: np.ndarray, p: Passages, grams: list[tuple
 SCHEMA = "item_id {item}, first_word long, cosine double, lcs double, answer boolean"
 
 
+@dataclass
+class Search:
+    """What a task needs to find the leaks in a column of texts."""
+
+    items: Items
+    weights: Weights
+    basis: np.ndarray
+    owner: np.ndarray
+    latent_items: np.ndarray
+    grams: list[tuple[int, np.ndarray, np.ndarray]]
+    min_cosine: float
+
+    @classmethod
+    def of(cls, docs: DataFrame, text_col: str, rows: list[tuple], min_cosine: float) -> Search | None:
+        """Documents are read twice: for their frequencies, and for the passages that the SVD is taken of."""
+        items = Items.of(rows)
+        if not items.ids:
+            return None
+        weights = inverse_frequencies(*document_frequencies(docs, text_col, items))
+        owner, sparse = item_passages(items, weights)
+        matrix = stored(able_rows(docs, text_col, items, weights, min_cosine), "passages")
+        basis = latent_basis(matrix, len(items.vocabulary), min(RANK, len(owner))).astype(np.float32)
+        discard(matrix)
+        return cls(items, weights, basis, owner, sparse.times(basis), items.grams(), min_cosine)
+
+    def leaks(self, column: pa.Array) -> dict[tuple[int, int], tuple[float, bool, float, int]]:
+        """(row, item index) -> (LCS share, answer, cosine, minus first word) of the best passage."""
+        table, best = word_table(), {}
+        rows_of = np.searchsorted(self.owner, np.arange(len(self.items.ids) + 1))
+        for at, data, bounds in T.slices(column):
+            w = T.words(data, bounds, table)
+            term = self.items.terms(w.hashes)
+            weight = self.weights(w.hashes, term)
+            p = passages(w, weight, term >= 0)
+            candidates = dict.fromkeys(gram_candidates(w, term, p, self.grams), 0.0)
+            some, m = able(w, term, weight, p, self.min_cosine)
+            for a in range(0, len(some), ITEM_BLOCK):
+                latent = m[a : a + ITEM_BLOCK].times(self.basis)
+                for b in range(0, len(self.owner), ITEM_BLOCK):
+                    cosine = latent @ self.latent_items[b : b + ITEM_BLOCK].T
+                    for i, j in np.argwhere(cosine >= self.min_cosine).tolist():
+                        key = int(some[a + i]), int(self.owner[b + j])
+                        candidates[key] = max(candidates.get(key, 0.0), float(cosine[i, j]))
+            n_words = w.per_doc
+            first = np.cumsum(n_words) - n_words
+            for (passage, item), cosine in candidates.items():
+                doc, wanted = int(p.doc[passage]), self.items.words[item].tolist()
+                reach = len(wanted)
+                a, z = max(first[doc], p.start[passage] - reach), min(first[doc] + n_words[doc], p.end[passage] + reach)
+                region = w.hashes[a:z].tolist()
+                share = common_subsequence(wanted, region) / reach
+                if share < MIN_LCS_WITH_ANSWER:
+                    continue
+                tail = wanted[-ANSWER_WORDS:]
+                answer = any(region[k : k + len(tail)] == tail for k in range(len(region) - len(tail) + 1))
+                if share >= MIN_LCS or answer or cosine >= self.min_cosine and reach >= SURE_WORDS:
+                    if not cosine:
+                        here = np.arange(p.start[passage], p.end[passage])
+                        here = here[(term[here] >= 0) & (weight[here] > 0)]
+                        vector = weight[here] @ self.basis[term[here]] / max(p.norm[passage], 1e-6)
+                        cosine = float((self.latent_items[rows_of[item] : rows_of[item + 1]] @ vector).max())
+                    row = (share, answer, cosine, -int(p.start[passage] - first[doc]))
+                    best[at + doc, item] = max(best.get((at + doc, item), row), row)
+        return best
+
+
+def _collected(benchmark: DataFrame, item_id_col: str, item_text_col: str) -> list[tuple]:
+    rows = benchmark.select(item_id_col, item_text_col).where(F.col(item_text_col).isNotNull()).distinct().orderBy(item_id_col, item_text_col)
+    return [tuple(r) for r in rows.collect()]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """(id, item_id, first_word, cosine, lcs, answer): a row for each document and benchmark item that it leaks.
 
-    The benchmark is a stated set of items (collected; it is the query set); documents are read in three passes over all
-    of them: document frequencies, the SVD, the search.  A passage cannot reach a cosine above the root of its weight's
-    share on benchmark words, so those below are not projected: a bound, not a sample.  A passage in which a run of an item's
-    words begins (see ``gram_size``) is a candidate whatever its cosine: stop words weigh nothing, but hide no item.  Null and empty texts and items
-    leak nothing; very long texts are searched whole; repeated rows give one row a copy; ties keep the best
-    passage that comes first; other columns are ignored; an empty table or benchmark gives no rows.
+    The benchmark is a stated set of items (collected; it is the query set; tasks hold its words, a rank a word and a rank a
+    passage of it).  Documents are read in three passes over all of them: document frequencies, the passages of the SVD, the
+    search.  A passage cannot reach a cosine above the root of its weight's share on benchmark words, so those below are
+    rows of nothing: a bound, not a sample.  A passage in which a run of an item's words begins (see ``gram_size``) is a
+    candidate whatever its cosine: stop words weigh nothing, but hide no item.  Null and empty texts and items leak nothing;
+    very long texts are searched whole; repeated rows give one row a copy; ties keep the best passage that comes first; other
+    columns are ignored; an empty table or benchmark gives no rows.
     """
-    bound_batches(docs.sparkSession)
-    items = Items.of([tuple(r) for r in benchmark.select(item_id_col, item_text_col).where(F.col(item_text_col).isNotNull()).distinct().orderBy(item_id_col, item_text_col).collect()])
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     id_type, item_type = rows.schema["id"].dataType, benchmark.schema[item_id_col].dataType
     schema = f"id {id_type.simpleString()}, " + SCHEMA.format(item=item_type.simpleString())
-    spark = docs.sparkSession
-    if not items.ids:
+    search = Search.of(rows, "text", _collected(benchmark, item_id_col, item_text_col), min_cosine)
+    if search is None:
         return spark.createDataFrame([], schema)
-    df, n = document_frequencies(rows, "text")
-    idf = inverse_frequencies(df, n)
-    blocks = blocks_of(items, latent_basis(rows, "text", items, idf), idf)
-    item_words, grams = [w.tolist() for w in items.words], items.grams()
-    owner, vectors = item_vectors(items, idf)
-    rows_of = np.searchsorted(owner, np.arange(len(items.ids) + 1))
-
-    def search(batches):
-        table = word_table()
+
+    def run(batches):
         for b in batches:
-            ids, best = b.column("id"), {}
-            for at, data, bounds in T.slices(b.column("text")):
-                w = T.words(data, bounds, table)
-                term = items.terms(w.hashes)
-                weight = idf[bucket(w.hashes)]
-                p = passages(w, weight, term >= 0)
-                candidates = gram_candidates(w, term, p, grams)
-                able = np.flatnonzero(p.share >= min_cosine**2)
-                if len(able):
-                    ours = np.flatnonzero((term >= 0) & (weight > 0))
-                    lo, hi = np.searchsorted(ours, p.start[able]), np.searchsorted(ours, p.end[able])
-                    words_of = np.concatenate([ours[x:y] for x, y in zip(lo, hi)])
-                    sizes = hi - lo
-                    ends = np.cumsum(sizes)
-                    for numbers, full, q in blocks:
-                        latent = np.add.reduceat(full[term[words_of]] * weight[words_of].astype(np.float32)[:, None], ends - sizes, axis=0)
-                        cosine = (latent @ q) / p.norm[able][:, None]
-                        candidates.update((int(able[i]), int(numbers[j])) for i, j in np.argwhere(cosine >= min_cosine).tolist())
-                n_words = w.per_doc
-                first = np.cumsum(n_words) - n_words
-                for passage, item in candidates:
-                    doc = int(p.doc[passage])
-                    wanted = item_words[item]
-                    reach = len(wanted)
-                    a = max(first[doc], p.start[passage] - reach)
-                    z = min(first[doc] + n_words[doc], p.end[passage] + reach)
-                    region = w.hashes[a:z].tolist()
-                    share = common_subsequence(wanted, region) / reach
-                    if share < MIN_LCS_WITH_ANSWER:
-                        continue
-                    tail = wanted[-ANSWER_WORDS:]
-                    answer = any(region[k : k + len(tail)] == tail for k in range(len(region) - len(tail) + 1))
-                    if share >= MIN_LCS or answer:
-                        inside = np.arange(p.start[passage], p.end[passage])
-                        inside = inside[term[inside] >= 0]
-                        mine = vectors[rows_of[item] : rows_of[item + 1]][:, term[inside]]
-                        cosine = float((mine @ weight[inside]).max() / p.norm[passage])
-                        row = (share, answer, cosine, -int(p.start[passage] - first[doc]))
-                        best[at + doc, item] = max(best.get((at + doc, item), row), row)
+            best = search.leaks(b.column("text"))
             keys = sorted(best)
             arrays = [
-                ids.take(pa.array([d for d, _ in keys], pa.int64())),
-                pa.array([items.ids[i] for _, i in keys]),
+                b.column("id").take(pa.array([d for d, _ in keys], pa.int64())),
+                pa.array([search.items.ids[i] for _, i in keys]),
                 pa.array([-best[k][3] for k in keys], pa.int64()),
                 pa.array([best[k][2] for k in keys], pa.float64()),
                 pa.array([best[k][0] for k in keys], pa.float64()),
@@ -385,10 +452,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             if keys:
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "item_id", "first_word", "cosine", "lcs", "answer"])
 
-    return rows.mapInArrow(search, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (all columns) without the documents that leak a benchmark item; rows with a null id all stay."""
-    leaks = stored(find_leaks(docs, benchmark, id_col, text_col).select(F.col("id").alias("__leak")).distinct(), "leaks")
-    return docs.join(small_or_shuffled(leaks), F.col(id_col) == F.col("__leak"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
+    """``docs`` (all columns) without the rows that leak a benchmark item.
+
+    Each row goes by its own text where it is read: ids do not matter, and nothing is joined.  Null and empty texts stay; an
+    empty benchmark takes nothing; other cases are those of :func:`find_leaks`.
+    """
+    bound_batches(docs.sparkSession)
+    search = Search.of(docs.where(F.col(text_col).isNotNull()), text_col, _collected(benchmark, item_id_col, item_text_col), min_cosine)
+    if search is None:
+        return docs
+
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r for r, _ in search.leaks(b.column(text_col))]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

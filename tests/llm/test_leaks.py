@@ -60,3 +60,40 @@ def test_norms_equal_those_of_the_summed_words():
         whole = max(sum(v * v for v in sums.values()), 1e-12)
         assert p.norm[k] ** 2 == pytest.approx(whole)
         assert p.share[k] == pytest.approx(sum(v * v for h, v in sums.items() if h % 2 == 0) / whole)
+
+
+@pytest.mark.parametrize("kept", [0.62, 0.55])
+def test_paraphrases_are_found_in_the_latent_space_only(spark, monkeypatch, kept):
+    """Words replaced all over, the answer too: too few are left in a row or in order, but the vectors are close."""
+    rng = random.Random(kept)
+    wide = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(60000)]
+    text = lambda n: " ".join(rng.choice(wide) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([24, 30, 36, 40, 45, 50] * 10)]
+    docs = [(100 + i, text(rng.randint(20, 300))) for i in range(400)]
+    for i, x in items:
+        w = x.split()
+        lost = set(range(1, len(w), 3)) | {len(w) - 2}
+        lost |= set(rng.sample(sorted(set(range(len(w))) - lost), max(0, round((1 - kept) * len(w)) - len(lost))))
+        docs.append((i, text(60) + " " + " ".join(rng.choice(wide) if k in lost else v for k, v in enumerate(w)) + " " + text(60)))
+    got = pairs(spark, docs, items)
+    assert not {p for p in got if p[0] != p[1]}
+    assert len(got) >= 0.9 * len(items)
+    monkeypatch.setattr(decontam, "latent_basis", lambda matrix, width, rank: np.zeros((width, rank)))
+    assert len(pairs(spark, docs, items)) < 0.2 * len(got)
+
+
+@pytest.mark.parametrize("length", [3, 5, 8, 12, 40, 120, 450, 1000])
+def test_verbatim_items_of_any_length_are_found(spark, length):
+    items = [(i, prose(length)) for i in range(5)]
+    docs = [(100 + i, prose(150)) for i in range(60)] + [(i, prose(90) + " " + x + " " + prose(90)) for i, x in items]
+    assert pairs(spark, docs, items) == {(i, i) for i, _ in items}
+
+
+def test_rows_go_by_their_own_text(spark):
+    item = prose(30)
+    rows = [(None, prose(50)), (None, item), (1, item), (1, prose(40)), (2, None), (3, "")] + [(10 + i, prose(60)) for i in range(40)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, item_id int")
+    kept = decontam.decontaminate(df, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and {r["item_id"] for r in kept.collect()} == set(range(len(rows))) - {1, 2}
+    assert decontam.decontaminate(df.limit(0), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
+    assert decontam.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
