@@ -11,66 +11,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.llm.util import stored
+from quillgrid.functions.core import both
+from quillgrid.llm.util import small_or_shuffled, stored
 
 #: Turn numbers are cut into stretches of this length, so that a window never holds a whole hot conversation.
 STRETCH = 1024
 
 
+def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    return conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+
+
 def prefix_hashes(conversations: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """(conv_id, stretch, pos, role, text, h1, h2): each turn with its place from 1 and the 128-bit hash of the turns up to it.
+    """(conv_id, pos, h1, h2, is_last): each turn's place from 1 and the 128-bit hash of the turns up to it.
 
-    Rows are ordered by turn, role and text; identical rows count once.  The hash of a prefix is the XOR of
-    hashes of (place, role, text), hence a rolling one: equal if and only if the turns are equal (but for
-    2**-128).  Places and hashes run over stretches of turn numbers and are then offset by the stretches
-    before, of which there are few.
+    Rows are ordered by turn, role and text; identical rows count once.  The hash of a prefix is the XOR of hashes of (place,
+    role, text), hence a rolling one: equal if and only if the turns are equal (but for 2**-128).  Texts become hashes
+    before anything is shuffled; only where one conversation has several texts of one turn and role do they travel, to be
+    ordered.  Places and hashes run over stretches of turn numbers; the few conversations of more than one are then offset.
     """
-    turns = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    turns = turns.distinct().withColumn("stretch", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).cast("long"))
-    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text")
-    earlier = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    counts = turns.groupBy("conv_id", "stretch").agg(F.count("*").alias("n"))
-    firsts = counts.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))
-    turns = turns.withColumn("k", F.row_number().over(inside)).join(firsts, same).drop("c", "s")
-    turns = turns.withColumn("pos", (F.col("before") + F.col("k")).cast("long")).drop("before", "k")
+    turns = _turns(conversations, conv_col, turn_col, role_col, text_col)
     #: xxhash64 skips nulls, so a null role or text is told apart by its flag.
-    parts = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    turns = turns.withColumns({"t1": F.xxhash64(*parts), "t2": F.xxhash64(F.lit("second"), *parts)})
+    parts = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    stretch = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / STRETCH).cast("long")
+    turns = turns.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit("second"), *parts), "stretch": stretch})
+    place = ["conv_id", "stretch", "turn", "role"]
+    several = turns.groupBy(*place).agg((F.min("k1") != F.max("k1")).alias("several")).where("several")
+    several = small_or_shuffled(several.select(*[F.col(c).alias(f"s_{c}") for c in place], "several"))
+    here = both(*[F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in place])
+    rows = turns.join(several, here, "left").select(*place, "k1", "k2", F.when(F.col("several"), F.col("text")).alias("tie"))
+    rows = rows.repartition("conv_id", "stretch").dropDuplicates()
+    inside = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "tie", "k1")
+    rows = rows.withColumns({"k": F.row_number().over(inside), "n": F.count(F.lit(1)).over(Window.partitionBy("conv_id", "stretch"))})
+    rows = stored(rows.select("conv_id", "stretch", "k", "n", "k1", "k2"), "turns")
+    counts = rows.where("k = 1").select("conv_id", "stretch", "n")
+    by_conv = Window.partitionBy("conv_id")
+    earlier = by_conv.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    spans = counts.groupBy("conv_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("conv_id").alias("c"))
+    long = counts.join(small_or_shuffled(spans), F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    long = long.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), (F.max("stretch").over(by_conv) != F.col("stretch")).alias("goes_on"))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))
+    rows = rows.join(small_or_shuffled(long), same, "left").withColumn("pos", F.col("k") + F.coalesce("before", F.lit(0)))
+    is_last = (F.col("k") == F.col("n")) & ~F.coalesce("goes_on", F.lit(False))
+    rows = rows.select("conv_id", "stretch", "pos", F.xxhash64("pos", "k1", "k2").alias("t1"), F.xxhash64(F.lit("second"), "pos", "k1", "k2").alias("t2"), is_last.alias("is_last"), F.col("c").isNotNull().alias("is_long"))
     upto = Window.partitionBy("conv_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    whole = turns.groupBy("conv_id", "stretch").agg(F.bit_xor("t1").alias("w1"), F.bit_xor("t2").alias("w2"))
-    whole = whole.select(
-        F.col("conv_id").alias("c"),
-        F.col("stretch").alias("s"),
-        F.coalesce(F.bit_xor("w1").over(earlier), F.lit(0)).alias("b1"),
-        F.coalesce(F.bit_xor("w2").over(earlier), F.lit(0)).alias("b2"),
-    )
-    turns = turns.withColumns({"r1": F.bit_xor("t1").over(upto), "r2": F.bit_xor("t2").over(upto)}).join(whole, same)
-    return turns.select("conv_id", "stretch", "pos", "role", "text", F.col("r1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("r2").bitwiseXOR(F.col("b2")).alias("h2"))
+    rows = rows.withColumns({"r1": F.bit_xor("t1").over(upto), "r2": F.bit_xor("t2").over(upto)})
+    rows = stored(rows.drop("t1", "t2"), "prefixes")
+    whole = rows.where("is_long").groupBy("conv_id", "stretch").agg(F.max_by(F.struct("r1", "r2"), "pos").alias("w"))
+    offsets = whole.select(F.col("conv_id").alias("c"), F.col("stretch").alias("s"), F.bit_xor("w.r1").over(earlier).alias("b1"), F.bit_xor("w.r2").over(earlier).alias("b2"))
+    rows = rows.join(small_or_shuffled(offsets), same, "left")
+    h1, h2 = (F.col(f"r{i}").bitwiseXOR(F.coalesce(f"b{i}", F.lit(0))).alias(f"h{i}") for i in (1, 2))
+    return rows.select("conv_id", F.col("pos").cast("long").alias("pos"), h1, h2, "is_last")
 
 
 def collapse(hashes: DataFrame) -> DataFrame:
     """(conv_id, n_turns, kept, keeper_id) for the rows of :func:`prefix_hashes`.
 
-    Of equal conversations the smallest conv_id represents the others; a representative that is a proper
-    prefix of a longer conversation is dropped.  keeper_id: the conversation itself if kept, the smallest
-    conv_id of those that continue it if it is a proper prefix, else the representative.  All groupings are
-    partial before they shuffle and one row a prefix afterwards, so a hot first turn is a single row.
+    Of equal conversations the smallest conv_id represents the others.  An anti-join with the prefixes of longer
+    conversations leaves the maximal representatives; a semi-join's complement names who continues the rest.  keeper_id:
+    the conversation itself if kept, the smallest conv_id of those that continue it if it is a proper prefix, else the
+    representative.  All groupings are partial before they shuffle and one row a prefix afterwards, so a hot first turn
+    is a single row.
     """
-    ends = hashes.groupBy("conv_id").agg(F.max(F.struct("pos", "h1", "h2")).alias("end"))
-    ends = ends.select("conv_id", F.col("end.pos").alias("n_turns"), F.col("end.h1").alias("h1"), F.col("end.h2").alias("h2"))
-    short = ends.select(F.col("conv_id").alias("c"), "n_turns")
-    inner = hashes.select("conv_id", "pos", "h1", "h2").join(short, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pos") < F.col("n_turns")))
-    inner = inner.groupBy("pos", "h1", "h2").agg(F.min("conv_id").alias("longer_id"), F.lit(True).alias("is_prefix"))
-    equal = ends.groupBy("n_turns", "h1", "h2").agg(F.min("conv_id").alias("first_id"))
-    classes = equal.join(inner, (equal["n_turns"] == inner["pos"]) & (equal["h1"] == inner["h1"]) & (equal["h2"] == inner["h2"]), "left")
-    classes = classes.select(equal["n_turns"].alias("n"), equal["h1"].alias("e1"), equal["h2"].alias("e2"), "first_id", "longer_id", F.coalesce("is_prefix", F.lit(False)).alias("is_prefix"))
-    out = ends.join(classes, (F.col("n_turns") == F.col("n")) & (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2")))
-    return out.select(
+    key = ["pos", "h1", "h2"]
+    ends = hashes.where("is_last").drop("is_last")
+    equal = ends.groupBy(*key).agg(F.min("conv_id").alias("first_id"))
+    longer = hashes.where("NOT is_last").groupBy(*key).agg(F.min("conv_id").alias("keeper"))
+    maximal = equal.join(longer, key, "left_anti").select(*key, "first_id", F.col("first_id").alias("keeper"), F.lit(True).alias("maximal"))
+    classes = maximal.unionByName(equal.join(longer, key).withColumn("maximal", F.lit(False)))
+    return ends.join(classes, key).select(
         "conv_id",
-        F.col("n_turns").cast("long").alias("n_turns"),
-        (~F.col("is_prefix") & F.col("conv_id").eqNullSafe(F.col("first_id"))).alias("kept"),
-        F.when(F.col("is_prefix"), F.col("longer_id")).otherwise(F.col("first_id")).alias("keeper_id"),
+        F.col("pos").alias("n_turns"),
+        (F.col("maximal") & F.col("conv_id").eqNullSafe(F.col("first_id"))).alias("kept"),
+        F.col("keeper").alias("keeper_id"),
     )
 
 
@@ -87,12 +100,12 @@ def format_chats(conversations: DataFrame, conv_col="conv_id", turn_col="turn",
     identical rows count once; other columns are ignored; an empty table gives no rows.  A rendered
     conversation is one string, so it must fit in one (2 GB).
     """
-    hashes = stored(prefix_hashes(conversations, conv_col, turn_col, role_col, text_col), "prefixes")
-    verdicts = collapse(hashes)
-    kept = verdicts.where("kept").select(F.col("conv_id").alias("c"))
-    segments = hashes.join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
-    segments = segments.groupBy("conv_id").agg(F.collect_list(F.struct("pos", render_turn(F.col("role"), F.col("text")).alias("segment"))).alias("all"))
-    rendered = segments.select(F.col("conv_id").alias("c"), F.array_join(F.transform(F.array_sort("all"), lambda x: x["segment"]), "").alias("rendered"))
+    hashes = stored(prefix_hashes(conversations, conv_col, turn_col, role_col, text_col), "hashes")
+    verdicts = stored(collapse(hashes), "verdicts")
+    kept = small_or_shuffled(verdicts.where("kept").select(F.col("conv_id").alias("c")))
+    turns = _turns(conversations, conv_col, turn_col, role_col, text_col).join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    rendered = turns.groupBy(F.col("conv_id").alias("c")).agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    rendered = rendered.select("c", F.array_join(F.transform("turns", lambda t: render_turn(t["role"], t["text"])), "").alias("rendered"))
     out = verdicts.join(rendered, F.col("conv_id").eqNullSafe(F.col("c")), "left")
     return out.select("conv_id", "n_turns", "kept", "keeper_id", "rendered")
 
