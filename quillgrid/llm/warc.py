@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Records are written one gzip member each.  The index sorts captures by reversed-host URL key into compressed blocks;
-a sparse directory keeps each block's first key and place.  A lookup bisects the directory, reads one block, bisects
-it, and reads one range of one archive.
+a sparse directory at the end of each index file keeps its blocks' first keys and places, and a table of index files their
+first keys.  A lookup bisects the files, then a file's directory, reads one block, bisects it, and reads one range of one
+archive.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import shared_path, small_or_shuffled, stored
+from quillgrid.llm.util import bound_batches, number_of_partitions, pieces_of, shared_path, small_or_shuffled, stored
 
 #: Captures in a compressed index block, and bytes after which a task begins a new archive.
 BLOCK_LINES = 1000
@@ -79,11 +80,16 @@ def _page_of(urn: str | None) -> int | None:
     return None if value in ("", "null") else int(value)
 
 
+def _opened(uri: str):
+    """File system and path of a uri; Hadoop's names of object stores become those of Arrow."""
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
 class _Appender:
     """An archive or index file that appears under its name only once it is whole."""
 
     def __init__(self, uri: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs, self.path = _opened(uri)
         self.fs.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.tmp = f"{self.path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.tmp"
         self.out, self.at = self.fs.open_output_stream(self.tmp, compression=None), 0
@@ -109,13 +115,13 @@ class RangeReader:
         if uri not in self.open:
             if len(self.open) >= self.most:
                 self.open.pop(next(iter(self.open))).close()
-            fs, path = pafs.FileSystem.from_uri(uri)
+            fs, path = _opened(uri)
             self.open[uri] = fs.open_input_file(path)
         return self.open[uri].read_at(length, offset)
 
 
 CAPTURES = "url_key string, page_id long, archive string, offset long, length long, payload_digest string, record_type string"
-BLOCKS = "first_key string, first_id long, index_file string, block_offset long, block_length long, n_lines int"
+FILES = "first_key string, first_id long, index_file string, directory_offset long, directory_length long, n_blocks long, n_lines long"
 
 
 def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
@@ -127,6 +133,7 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     be null; other columns are ignored.  Each task writes archives named by its partition and renames them when whole,
     so a task that runs again after a loss writes the same bytes to the same name.
     """
+    bound_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     shared = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
@@ -137,7 +144,7 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
 
     def write(batches):
         part, k, out = TaskContext.get().partitionId(), 0, None
-        for b in batches:
+        for b in pieces_of(batches):
             made = []
             for page_id, url, html, first_id, is_revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id", "revisit"))):
                 if out and out.at >= ARCHIVE_BYTES:
@@ -157,23 +164,31 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     return stored(rows.mapInArrow(write, CAPTURES), "warc-captures")
 
 
+def _order(key: str, page_id) -> tuple[str, int]:
+    """Captures are sorted by key and id, null ids first."""
+    return key, -(1 << 63) if page_id is None else page_id
+
+
 def build_index(captures: DataFrame, uri: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Sort captures by (url key, id), write compressed blocks under ``uri``; returns the stored block directory.
+    """Sort captures by (url key, id), write compressed blocks and their directory under ``uri``; returns the stored table of
+    index files.
 
-    Ranges are dealt by key and id together, so one hot host or url spreads over tasks.
+    Ranges are dealt by key and id together, so one hot host or url spreads over tasks.  A directory has a line for each
+    ``block_lines`` captures of its file; the table has a row a file, that is a task.
     """
+    # keys are compared by code point in Python and by UTF-8 bytes in Spark, which is the same order
     ordered = captures.repartitionByRange(F.col("url_key"), F.col("page_id"), F.col("archive"), F.col("offset")).sortWithinPartitions("url_key", "page_id", "archive", "offset")
 
     def write(batches):
-        part, out, lines, made = TaskContext.get().partitionId(), None, [], []
+        part, out, lines, blocks = TaskContext.get().partitionId(), None, [], []
 
         def flush():
             data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
-            made.append((lines[0][0], lines[0][1], name, out.append(data), len(data), len(lines)))
+            blocks.append((lines[0][0], lines[0][1], out.append(data), len(data), len(lines)))
             lines.clear()
 
         for b in batches:
-            if out is None:
+            if out is None and b.num_rows:
                 name = f"{uri}/index-{part:06d}.cdxz"
                 out = _Appender(name)
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -182,58 +197,100 @@ def build_index(captures: DataFrame, uri: str, block_lines: int = BLOCK_LINES) -
                     flush()
         if lines:
             flush()
+        rows = []
         if out:
+            data = zlib.compress(json.dumps(blocks).encode())
+            rows.append((blocks[0][0], blocks[0][1], name, out.append(data), len(data), len(blocks), sum(x[4] for x in blocks)))
             out.close()
-        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [[]] * 6, types)], names=[c.split()[0] for c in BLOCKS.split(", ")])
+        types = (pa.string(), *[pa.int64()], pa.string(), *[pa.int64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=[c.split()[0] for c in FILES.split(", ")])
+
+    return stored(ordered.mapInArrow(write, FILES), "warc-files")
+
+
+class Index:
+    """Bisects the index files (given as sorted rows), a file's directory and a block; keeps the last few of both."""
+
+    def __init__(self, files: list[tuple], reader: RangeReader, most: int = 16):
+        self.files, self.reader, self.most = files, reader, most
+        self.first = [_order(f[0], f[1]) for f in files]
+        self.held: dict = {}
 
-    return stored(ordered.mapInArrow(write, BLOCKS), "warc-directory")
+    def _read(self, uri: str, offset: int, length: int, load) -> tuple[list, list]:
+        """(sort keys, rows) of a directory or block."""
+        if (uri, offset) not in self.held:
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+            rows = load(zlib.decompress(self.reader.read(uri, offset, length)).decode())
+            self.held[uri, offset] = [_order(x[0], x[1]) for x in rows], rows
+        return self.held[uri, offset]
 
+    def captures(self, low: tuple, high: tuple):
+        """Captures from ``low`` to ``high`` (key and id), in order."""
+        f = max(0, bisect_left(self.first, low) - 1)
+        while f < len(self.files) and self.first[f] <= high:
+            uri, offset, length = self.files[f][2:5]
+            keys, blocks = self._read(uri, offset, length, json.loads)
+            k = max(0, bisect_left(keys, low) - 1)
+            while k < len(blocks) and keys[k] <= high:
+                order, lines = self._read(uri, blocks[k][2], blocks[k][3], lambda x: [json.loads(y) for y in x.split("\n")])
+                yield from lines[bisect_left(order, low) : bisect_right(order, high)]
+                k += 1
+            f += 1
 
-def read_block(reader: RangeReader, index_file: str, offset: int, length: int) -> list[list]:
-    return [json.loads(x) for x in zlib.decompress(reader.read(index_file, offset, length)).decode().split("\n")]
+
+def sorted_files(files: DataFrame) -> list[tuple]:
+    """The table of index files, a row a task that wrote one."""
+    return sorted((tuple(r) for r in files.collect()), key=lambda r: _order(r[0], r[1]))
 
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read_captures(directory: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every capture of the index, read back from the archives by range reads and verified against its digest."""
+def read_captures(files: DataFrame, wanted: DataFrame, with_payload: bool = False) -> DataFrame:
+    """Every capture of the ``wanted`` (url_key, page_id), found in the index, read by a range read and verified by its digest.
+
+    What is wanted is sorted, so that a task's lookups fall into neighbouring blocks; tasks are counted by the blocks that the
+    index has, 64 a task at most.
+    """
+    rows = sorted_files(files)
+    blocks = sum(r[5] for r in rows)
+    tasks = max(1, min(blocks, max(number_of_partitions(files.sparkSession), -(-blocks // 64))))
 
     def read(batches):
         reader = RangeReader()
-        for b in batches:
-            for index_file, offset, length in zip(*(b.column(c).to_pylist() for c in ("index_file", "block_offset", "block_length"))):
-                made = []
-                for _, page_id, archive, at, size, digest, kind in sorted(read_block(reader, index_file, offset, length), key=lambda x: (x[2], x[3])):
-                    headers, payload, full = parse_record(reader.read(archive, at, size))
-                    said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if said != digest or headers["WARC-Type"] != kind or kind == "response" and (digest_of(payload) != digest or len(payload) != full):
-                        raise ValueError(f"{archive} at {at} is damaged")
-                    made.append((page_id, headers.get("WARC-Target-URI", ""), full, said, kind, _page_of(headers.get("WARC-Refers-To")), payload if with_payload else None))
+        index = Index(rows, reader)
+        for b in pieces_of(batches, 256):
+            made = []
+            found = [x for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in index.captures(_order(key, page_id), _order(key, page_id))]
+            for _, page_id, archive, at, size, digest, kind in sorted(found, key=lambda x: (x[2], x[3])):
+                headers, payload, full = parse_record(reader.read(archive, at, size))
+                said = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+                if said != digest or headers["WARC-Type"] != kind or kind == "response" and (digest_of(payload) != digest or len(payload) != full):
+                    raise ValueError(f"{archive} at {at} is damaged")
+                made.append((page_id, headers.get("WARC-Target-URI", ""), full, said, kind, _page_of(headers.get("WARC-Refers-To")), payload if with_payload else None))
+            if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], names=[c.split()[0] for c in RECORDS.split(", ")])
 
-    spread = directory.select("index_file", "block_offset", "block_length").repartition(F.col("index_file"), F.col("block_offset"))
-    return spread.mapInArrow(read, RECORDS)
-
-
-def lookup(spark: SparkSession, directory: DataFrame, url: str) -> list[dict]:
-    """All captures of one url: the blocks that may hold its key by bisection of the directory, then one range read each."""
-    key = url_key(url)
-    before = directory.where(F.col("first_key") < key).orderBy(F.desc("first_key"), F.desc("first_id")).limit(1)
-    blocks = [r for r in before.unionByName(directory.where(F.col("first_key") == key)).collect()]
-    reader, found = RangeReader(), []
-    for r in blocks:
-        lines = read_block(reader, r["index_file"], r["block_offset"], r["block_length"])
-        keys = [x[0] for x in lines]
-        for x in lines[bisect_left(keys, key) : bisect_right(keys, key)]:
-            headers, payload, full = parse_record(reader.read(x[2], x[3], x[4]))
-            found.append({"page_id": x[1], "url": headers["WARC-Target-URI"], "record_type": x[6], "payload_digest": x[5], "payload_bytes": full, "payload": payload})
+    keys = wanted.select("url_key", "page_id").distinct()
+    dealt = keys.repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    return dealt.mapInArrow(read, RECORDS)
+
+
+def lookup(files: DataFrame, url: str) -> list[dict]:
+    """All captures of one url."""
+    reader, found, key = RangeReader(), [], url_key(url)
+    for x in Index(sorted_files(files), reader).captures((key, -(1 << 63)), (key, 1 << 63)):
+        headers, payload, full = parse_record(reader.read(x[2], x[3], x[4]))
+        found.append({"page_id": x[1], "url": headers["WARC-Target-URI"], "record_type": x[6], "payload_digest": x[5], "payload_bytes": full, "payload": payload})
     return found
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Write, index and read back ``pages`` in the shared folder."""
+    """Write and index ``pages`` in the shared folder and read every page back through the index.
+
+    A row for each input row, null and repeated ids and urls included; other columns are ignored; an empty table gives none.
+    """
     uri = shared_path(pages.sparkSession, "warc")
     captures = write_archives(pages, f"{uri}/archive", min_revisit_bytes=min_revisit_bytes)
-    return read_captures(build_index(captures, f"{uri}/index"))
+    return read_captures(build_index(captures, f"{uri}/index"), captures)
