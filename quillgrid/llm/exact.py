@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillgrid.llm.util import ascii_lower, bound_batches, pieces_of, small_or_shuffled, stored
 
 PREFIX_CHARS = 256
+#: Copies from which a group is broadcast to its rows; there are at most rows / HOT such groups, and they are counted.
+HOT = 256
 
 
 def _full_hash(batches):
@@ -42,19 +44,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     length = F.octet_length("text").alias("length")
-    lengths = rows.select(length).groupBy("length").count().where("count > 1").select("length")
+    lengths = stored(rows.select(length).groupBy("length").count().where("count > 1").select("length"), "lengths")
     prefix = F.xxhash64(ascii_lower(F.left("text", F.lit(prefix_chars)))).alias("prefix_hash")
     shared = rows.select(length, prefix).join(small_or_shuffled(lengths), "length", "left_semi").groupBy("length", "prefix_hash").count().where("count > 1").select("length", "prefix_hash", F.lit(True).alias("survives"))
-    keyed = rows.select("id", "text", length, prefix).join(small_or_shuffled(shared), ["length", "prefix_hash"], "left")
+    keyed = rows.select("id", "text", length, prefix).join(small_or_shuffled(stored(shared, "prefixes")), ["length", "prefix_hash"], "left")
     keyed = keyed.select("id", F.col("text"), F.coalesce("survives", F.lit(False)).alias("survives"))
     keyed = keyed.withColumn("wanted", F.lit(True) if digest_all else F.col("survives"))
     id_type = rows.schema["id"].dataType.simpleString()
-    hashed = keyed.mapInArrow(_full_hash, f"id {id_type}, survives boolean, text_sha256 string")
+    hashed = stored(keyed.mapInArrow(_full_hash, f"id {id_type}, survives boolean, text_sha256 string"), "digests")
     groups = hashed.where("survives").groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = groups.withColumnRenamed("text_sha256", "group_sha256")
-    #: rows that are alone have no hash; their ids spread them over the tasks of the join
-    key = F.when(F.col("survives"), F.col("text_sha256")).otherwise(F.xxhash64("id").cast("string"))
-    out = hashed.withColumn("key", key).join(groups, F.col("key") == F.col("group_sha256"), "left")
+    groups = stored(groups.withColumnRenamed("text_sha256", "group_sha256"), "groups")
+    # rows of a hot group meet its one row where they are; those of others meet in a shuffle, and rows that need no partner
+    # are spread over its tasks
+    hot = groups.where(F.col("group_size") > HOT).select(*[F.col(c).alias(f"hot_{c}") for c in groups.columns])
+    out = hashed.join(small_or_shuffled(hot), F.col("survives") & (F.col("text_sha256") == F.col("hot_group_sha256")), "left")
+    meets = F.col("survives") & F.col("hot_group_sha256").isNull()
+    key = F.when(meets, F.col("text_sha256")).otherwise(F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+    out = out.withColumn("key", key).join(groups.where(F.col("group_size") <= HOT), F.col("key") == F.col("group_sha256"), "left")
+    out = out.select("id", "text_sha256", *[F.coalesce(f"hot_{c}", c).alias(c) for c in ("keep_id", "group_size")])
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return out.select(

@@ -494,13 +494,19 @@ def test_warc_round_trip(spark, sf):
 
 def test_warc_index_lookup(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    captures = warc.write_archives(pages, f"file://{tmp_path}/archive")
-    directory = warc.build_index(captures, f"file://{tmp_path}/index", block_lines=7)
-    assert directory.agg({"n_lines": "sum"}).first()[0] == pages.count()
+    hot = spark.range(5000, 5040).selectExpr("id as page_id", "'http://hot.example/x' as url", "'p' || id as html")
+    captures = warc.write_archives(pages.select("page_id", "url", "html").unionByName(hot), f"file://{tmp_path}/archive")
+    files = warc.build_index(captures.repartition(3), f"file://{tmp_path}/index", block_lines=7)
+    assert files.agg({"n_lines": "sum"}).first()[0] == pages.count() + 40
     for r in pages.limit(5).collect():
-        hit = [x for x in warc.lookup(spark, directory, r["url"]) if x["page_id"] == r["page_id"]]
+        hit = [x for x in warc.lookup(files, r["url"]) if x["page_id"] == r["page_id"]]
         assert len(hit) == 1 and hit[0]["payload"] == r["html"].encode()
-    assert warc.lookup(spark, directory, "http://nowhere.example/none") == []
+    assert [x["page_id"] for x in warc.lookup(files, "http://hot.example/x")] == list(range(5000, 5040))
+    assert warc.lookup(files, "http://nowhere.example/none") == []
+    wanted = captures.where("page_id % 10 = 3")
+    got = warc.read_captures(files, wanted, with_payload=True).collect()
+    assert {r["page_id"] for r in got} == {r["page_id"] for r in wanted.collect()}
+    assert all(r["record_type"] == "revisit" or warc.digest_of(bytes(r["payload"])) == r["payload_digest"] for r in got)
     assert not list(tmp_path.rglob("*.tmp"))
     member = warc.build_record(1, "http://x/", b"abc", warc.digest_of(b"abc"))
     assert gzip.decompress(member).startswith(b"WARC/1.0\r\n") and warc.parse_record(member)[1] == b"abc"
