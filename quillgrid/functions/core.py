@@ -73,6 +73,31 @@ def num(x) -> Column:
     return keep_error(x.cast("double"), x) if isinstance(x, Column) else F.lit(None).cast("double")
 
 
+def ranged(x) -> Column:
+    """The numbers of a range: text and booleans in it are no numbers, as blanks are; a literal is read as by :func:`num`.
+
+    The type is known when the plan is made, so nothing of the choice is left in it.
+    """
+    if not isinstance(x, Column):
+        return num(x)
+    other = F.typeof(x).startswith("string") | (F.typeof(x) == "boolean")
+    return keep_error(F.when(~other, x.try_cast("double")), x)
+
+
+def aggregated(value: Column, *args, fails: tuple = ()) -> Column:
+    """An aggregate that fails with the smallest error code in its arguments' cells, else with the first code of ``fails``
+    (aggregate condition, code) that holds."""
+    errors = [F.min(error_of(a)) for a in args if has_error(a)]
+    own = None
+    for condition, code in fails:
+        own = F.when(condition, code) if own is None else own.when(condition, code)
+    parts = [*errors, *([own] if own is not None else [])]
+    if not parts:
+        return value
+    error = F.coalesce(*parts)
+    return with_error(F.when(error.isNull(), value), error)
+
+
 def text(x) -> Column:
     """Text: a blank is empty."""
     return F.coalesce(col(x).cast("string"), F.lit(""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quillgrid.functions.core import finite, function, guarded, num, trunc
+from quillgrid.functions.core import aggregated, finite, function, guarded, num, trunc, with_error
 
 
 def _growth(rate, periods) -> Column:
@@ -227,7 +227,8 @@ def _irr(values: pd.Series, order: pd.Series, guess: pd.Series) -> float:
 @function("IRR", 1, 2, kind="aggregate")
 def IRR(values, guess=0.1, *, order):
     """Aggregate of one cash flow a row, taken in ``order``; a group must fit in a task."""
-    return _irr(num(values), order, num(guess))
+    rate = _irr(num(values), order, num(guess))
+    return with_error(rate, F.when(rate.isNull(), "#NUM!"))
 
 
 @F.pandas_udf(DoubleType())
@@ -240,7 +241,8 @@ def _xirr(values: pd.Series, days: pd.Series, guess: pd.Series) -> float:
 @function("XIRR", 2, 3, kind="aggregate")
 def XIRR(values, dates, guess=0.1):
     """``dates`` are serials; the earliest is where discounting begins."""
-    return _xirr(num(values), num(dates), num(guess))
+    rate = _xirr(num(values), num(dates), num(guess))
+    return with_error(rate, F.when(rate.isNull(), "#NUM!"))
 
 
 @function("NPV", 2, None, kind="aggregate")
@@ -263,4 +265,5 @@ def MIRR(values, finance_rate, reinvest_rate, *, position):
     gains = F.sum(F.when(v > 0, v / F.pow(1 + num(reinvest_rate), k)))
     losses = F.sum(F.when(v < 0, v / F.pow(1 + num(finance_rate), k)))
     r = F.first(num(reinvest_rate))
-    return F.pow(F.try_divide(-gains * F.pow(1 + r, n), losses), F.try_divide(F.lit(1.0), n)) - 1
+    value = F.pow(F.try_divide(-gains * F.pow(1 + r, n), losses), F.try_divide(F.lit(1.0), n)) - 1
+    return aggregated(value, values, fails=((gains.isNull() | losses.isNull(), "#DIV/0!"),))

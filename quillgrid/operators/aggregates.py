@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgrid.functions.core import alias, both, function, num
+from quillgrid.functions.core import aggregated, alias, both, error_of, function, has_error, num, ranged, with_error
 from quillgrid.functions.criteria import criterion
 from quillgrid.operators.arrays import numbered
 
@@ -16,62 +16,72 @@ def _agg(name: str, least: int = 1, most: int | None = -1):
 
 
 # --- plain -----------------------------------------------------------------------------------------------------------
+DIV, NUM, NA = "#DIV/0!", "#NUM!", "#N/A"
+
+
+def _n(x) -> Column:
+    return F.count(ranged(x))
+
+
 @_agg("SUM", 1, None)
 def SUM(*values):
     """Of one column over rows, or of several; empty is 0."""
-    out = F.coalesce(F.sum(num(values[0])), F.lit(0.0))
+    out = F.coalesce(F.sum(ranged(values[0])), F.lit(0.0))
     for v in values[1:]:
-        out = out + F.coalesce(F.sum(num(v)), F.lit(0.0))
-    return out
+        out = out + F.coalesce(F.sum(ranged(v)), F.lit(0.0))
+    return aggregated(out, *values)
 
 
 @_agg("AVERAGE")
 def AVERAGE(x):
-    return F.avg(num(x))
+    return aggregated(F.avg(ranged(x)), x, fails=((_n(x) == 0, DIV),))
 
 
 @_agg("COUNT")
 def COUNT(x):
-    return F.count(x).cast("double")
+    """Numbers only; errors are not counted and not passed on."""
+    return _n(x).cast("double")
 
 
 @_agg("COUNTA")
 def COUNTA(x):
-    return F.count(x).cast("double")
+    """What is not blank, errors too."""
+    return F.count_if(x.isNotNull() | error_of(x).isNotNull()).cast("double") if has_error(x) else F.count(x).cast("double")
 
 
 @_agg("COUNTBLANK")
 def COUNTBLANK(x):
-    return F.count_if(x.isNull() | (x.cast("string") == "")).cast("double")
+    blank = x.isNull() & error_of(x).isNull() if has_error(x) else x.isNull()
+    return F.count_if(blank | (x.cast("string") == "")).cast("double")
 
 
 @_agg("MIN")
 def MIN(x):
-    return F.coalesce(F.min(num(x)), F.lit(0.0))
+    return aggregated(F.coalesce(F.min(ranged(x)), F.lit(0.0)), x)
 
 
 @_agg("MAX")
 def MAX(x):
-    return F.coalesce(F.max(num(x)), F.lit(0.0))
+    return aggregated(F.coalesce(F.max(ranged(x)), F.lit(0.0)), x)
 
 
 @_agg("PRODUCT")
 def PRODUCT(x):
-    return F.coalesce(F.product(num(x)), F.lit(0.0))
+    return aggregated(F.coalesce(F.product(ranged(x)), F.lit(0.0)), x)
 
 
 @_agg("SUMSQ")
 def SUMSQ(x):
-    return F.coalesce(F.sum(num(x) * num(x)), F.lit(0.0))
+    return aggregated(F.coalesce(F.sum(ranged(x) * ranged(x)), F.lit(0.0)), x)
 
 
 @_agg("SUMPRODUCT", 1, None)
 def SUMPRODUCT(*columns):
-    """Row-aligned columns; a blank is a factor 0."""
-    out = F.coalesce(num(columns[0]), F.lit(0.0))
+    """Row-aligned columns; what is no number is a factor 0."""
+    out = F.coalesce(ranged(columns[0]), F.lit(0.0))
     for c in columns[1:]:
-        out = out * F.coalesce(num(c), F.lit(0.0))
-    return F.coalesce(F.sum(out), F.lit(0.0))
+        out = out * F.coalesce(ranged(c), F.lit(0.0))
+    return aggregated(F.coalesce(F.sum(out), F.lit(0.0)), *columns)
 
 
 # --- criteria --------------------------------------------------------------------------------------------------------
@@ -93,17 +103,28 @@ class TextColumn:
         self.column = column
 
 
+def _where(f, values, pairs, empty: float | None = None) -> Column:
+    """An aggregate of the numbers of matching rows: errors of other rows do not matter; without a number it is ``empty``, or #DIV/0!."""
+    test = _pairs(pairs)
+    values = values.column if isinstance(values, TextColumn) else values
+    chosen = F.when(test, ranged(values))
+    chosen = with_error(chosen, F.when(test, error_of(values)) if has_error(values) else None)
+    if empty is not None:
+        return aggregated(F.coalesce(f(chosen), F.lit(empty)), chosen)
+    return aggregated(f(chosen), chosen, fails=((F.count(chosen) == 0, DIV),))
+
+
 @_agg("SUMIF", 2, 3)
 def SUMIF(c, wanted, values=None):
     v = values if values is not None else c
-    return F.coalesce(F.sum(F.when(_pairs((c, wanted)), num(v))), F.lit(0.0))
+    return _where(F.sum, v, (c, wanted), empty=0.0)
 
 
 @_agg("SUMIFS", 3, None)
 def SUMIFS(values, *pairs):
     if len(pairs) % 2:
         raise ValueError("#VALUE!: criteria come in pairs")
-    return F.coalesce(F.sum(F.when(_pairs(pairs), num(values))), F.lit(0.0))
+    return _where(F.sum, values, pairs, empty=0.0)
 
 
 @_agg("COUNTIF", 2)
@@ -118,22 +139,22 @@ def COUNTIFS(*pairs):
 
 @_agg("AVERAGEIF", 2, 3)
 def AVERAGEIF(c, wanted, values=None):
-    return F.avg(F.when(_pairs((c, wanted)), num(values if values is not None else c)))
+    return _where(F.avg, values if values is not None else c, (c, wanted))
 
 
 @_agg("AVERAGEIFS", 3, None)
 def AVERAGEIFS(values, *pairs):
-    return F.avg(F.when(_pairs(pairs), num(values)))
+    return _where(F.avg, values, pairs)
 
 
 @_agg("MINIFS", 3, None)
 def MINIFS(values, *pairs):
-    return F.coalesce(F.min(F.when(_pairs(pairs), num(values))), F.lit(0.0))
+    return _where(F.min, values, pairs, empty=0.0)
 
 
 @_agg("MAXIFS", 3, None)
 def MAXIFS(values, *pairs):
-    return F.coalesce(F.max(F.when(_pairs(pairs), num(values))), F.lit(0.0))
+    return _where(F.max, values, pairs, empty=0.0)
 
 
 # --- database --------------------------------------------------------------------------------------------------------
@@ -151,21 +172,23 @@ def database_filter(df: DataFrame, criteria: list[dict], text_columns: tuple[str
 
 def _database(name: str, make):
     def build(df: DataFrame, field: str | None, criteria: list[dict], by: tuple[str, ...] = ()) -> DataFrame:
+        """(value, error) of the matching rows; the error column is there for functions that can fail."""
         chosen = df.where(database_filter(df, criteria))
-        value = F.col(field) if field is not None else F.lit(1)
-        return chosen.groupBy(*by).agg(make(value).alias(name.lower()))
+        value = make(F.col(field) if field is not None else F.lit(1.0))
+        error = [error_of(value).alias("error")] if has_error(value) else []
+        return chosen.groupBy(*by).agg(value.alias(name.lower()), *error)
 
     build.__name__ = name
     function(name, 3, 4, kind="relation")(build)
     return build
 
 
-DSUM = _database("DSUM", lambda v: F.coalesce(F.sum(num(v)), F.lit(0.0)))
-DAVERAGE = _database("DAVERAGE", lambda v: F.avg(num(v)))
-DCOUNT = _database("DCOUNT", lambda v: F.count(v).cast("double"))
-DCOUNTA = _database("DCOUNTA", lambda v: F.count(v).cast("double"))
-DMAX = _database("DMAX", lambda v: F.coalesce(F.max(num(v)), F.lit(0.0)))
-DMIN = _database("DMIN", lambda v: F.coalesce(F.min(num(v)), F.lit(0.0)))
+DSUM = _database("DSUM", SUM)
+DAVERAGE = _database("DAVERAGE", AVERAGE)
+DCOUNT = _database("DCOUNT", COUNT)
+DCOUNTA = _database("DCOUNTA", COUNTA)
+DMAX = _database("DMAX", MAX)
+DMIN = _database("DMIN", MIN)
 
 
 @function("DGET", 3, kind="relation")
@@ -176,9 +199,9 @@ def DGET(df: DataFrame, field: str, criteria: list[dict]) -> DataFrame:
 
 
 # --- dispersion and shape --------------------------------------------------------------------------------------------
-def _named(names: tuple[str, ...], f):
+def _named(names: tuple[str, ...], f, least: int, code: str):
     def build(x):
-        return f(num(x))
+        return aggregated(f(ranged(x)), x, fails=((_n(x) < least, code),))
 
     build.__name__ = names[0]
     for n in names:
@@ -186,35 +209,43 @@ def _named(names: tuple[str, ...], f):
     return build
 
 
-STDEV = _named(("STDEV", "STDEV.S"), F.stddev_samp)
-STDEVP = _named(("STDEVP", "STDEV.P"), F.stddev_pop)
-VAR = _named(("VAR", "VAR.S"), F.var_samp)
-VARP = _named(("VARP", "VAR.P"), F.var_pop)
-MEDIAN = _named(("MEDIAN",), F.median)
+STDEV = _named(("STDEV", "STDEV.S"), F.stddev_samp, 2, DIV)
+STDEVP = _named(("STDEVP", "STDEV.P"), F.stddev_pop, 1, DIV)
+VAR = _named(("VAR", "VAR.S"), F.var_samp, 2, DIV)
+VARP = _named(("VARP", "VAR.P"), F.var_pop, 1, DIV)
+MEDIAN = _named(("MEDIAN",), F.median, 1, NUM)
+
+
+def _positive(x, value: Column) -> Column:
+    v = ranged(x)
+    return aggregated(F.when(F.min(v) > 0, value), x, fails=((F.coalesce(F.min(v), F.lit(0.0)) <= 0, NUM),))
 
 
 @_agg("GEOMEAN")
 def GEOMEAN(x):
-    v = num(x)
-    return F.when(F.min(v) > 0, F.exp(F.avg(F.ln(v))))
+    return _positive(x, F.exp(F.avg(F.ln(ranged(x)))))
 
 
 @_agg("HARMEAN")
 def HARMEAN(x):
-    v = num(x)
-    return F.when(F.min(v) > 0, F.try_divide(F.count(v), F.sum(F.try_divide(F.lit(1.0), v))))
+    return _positive(x, F.try_divide(_n(x), F.sum(F.try_divide(F.lit(1.0), ranged(x)))))
+
+
+def _shaped(x, least: int, value: Column) -> Column:
+    flat = (_n(x) < least) | ~F.coalesce(F.var_pop(ranged(x)) > 0, F.lit(False))
+    return aggregated(F.when(~flat, value), x, fails=((flat, DIV),))
 
 
 @_agg("SKEW")
 def SKEW(x):
-    v, n = num(x), F.count(x)
-    return F.when((n > 2) & (F.var_pop(v) > 0), F.skewness(v) * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
+    n = _n(x)
+    return _shaped(x, 3, F.skewness(ranged(x)) * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
 
 
 @_agg("KURT")
 def KURT(x):
-    v, n = num(x), F.count(x)
-    return F.when((n > 3) & (F.var_pop(v) > 0), F.try_divide(((n + 1) * F.kurtosis(v) + 6) * (n - 1), (n - 2) * (n - 3)))
+    n = _n(x)
+    return _shaped(x, 4, F.try_divide(((n + 1) * F.kurtosis(ranged(x)) + 6) * (n - 1), (n - 2) * (n - 3)))
 
 
 @function("AVEDEV", 2, 3, kind="relation")
@@ -232,7 +263,7 @@ def a_value(x: Column, kind: str) -> Column:
 
 @_agg("AVERAGEA", 1, 2)
 def AVERAGEA(x, kind: str = "double"):
-    return F.avg(a_value(x, kind))
+    return aggregated(F.avg(a_value(x, kind)), x, fails=((F.count(a_value(x, kind)) == 0, DIV),))
 
 
 @_agg("MAXA", 1, 2)
@@ -248,7 +279,8 @@ def MINA(x, kind: str = "double"):
 # --- order statistics ------------------------------------------------------------------------------------------------
 @_agg("PERCENTILE", 2)
 def PERCENTILE(x, k: float):
-    return F.percentile(num(x), F.lit(float(k))) if 0 <= k <= 1 else F.lit(None).cast("double")
+    inside = 0 <= k <= 1
+    return aggregated(F.percentile(ranged(x), F.lit(float(k) if inside else 0.0)), x, fails=((F.lit(not inside) | (_n(x) == 0), NUM),))
 
 
 alias("PERCENTILE.INC", "PERCENTILE")
@@ -267,7 +299,7 @@ def _numbered(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
 
     With a key, ranks are a window over it; without one, rows are numbered range by range, so no task sorts them all.
     """
-    rows = df.withColumn("__v", num(F.col(value))).where(F.col("__v").isNotNull())
+    rows = df.withColumn("__v", ranged(F.col(value))).where(F.col("__v").isNotNull())
     counts = rows.groupBy(*by).agg(F.count("*").alias("__n"))
     if not by:
         return numbered(rows, [F.col("__v")], "__k").crossJoin(F.broadcast(counts))
@@ -277,10 +309,14 @@ def _numbered(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
 
 def _kth(name: str, descending: bool):
     def build(df: DataFrame, value: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-        """The k-th number of each key: Spark keeps k rows a task before it shuffles."""
-        v = num(F.col(value))
+        """(keys, value, error): the k-th number of each key, #NUM! if it has fewer.  Spark keeps k rows a task before it shuffles."""
+        v = ranged(F.col(value))
         w = Window.partitionBy(*by).orderBy(v.desc() if descending else v)
-        return df.where(v.isNotNull()).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).where(F.col("__k") == k).select(*by, v.alias(name.lower()))
+        top = df.where(v.isNotNull()).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).where(F.col("__k") == k).select(*by, v.alias(name.lower()))
+        # every key answers: those with too few numbers have an error
+        keys = df.groupBy(*by).agg(F.lit(1).alias("__one"))
+        joined = keys.join(top, list(by), "left") if by else keys.join(top, F.col("__one") == 1, "left")
+        return joined.select(*by, name.lower(), F.when(F.col(name.lower()).isNull(), NUM).alias("error"))
 
     build.__name__ = name
     function(name, 3, 4, kind="relation")(build)
@@ -292,14 +328,14 @@ LARGE, SMALL = _kth("LARGE", True), _kth("SMALL", False)
 
 @function("PERCENTILE.EXC", 3, 4, kind="relation")
 def PERCENTILE_EXC(df: DataFrame, value: str, k: float, by: tuple[str, ...] = (), out: str = "percentile_exc") -> DataFrame:
-    """Rank k (n + 1), which must lie in [1, n]; null otherwise."""
+    """Rank k (n + 1), which must lie in [1, n]; null and an error otherwise."""
     ranked = _numbered(df, value, by)
     at = F.lit(float(k)) * (F.col("__n") + 1)
     low = F.floor(at)
     near = ranked.where((F.col("__k") == low) | (F.col("__k") == low + 1))
     got = near.groupBy(*by, "__n").agg(F.max(F.when(F.col("__k") == low, F.col("__v"))).alias("a"), F.max(F.when(F.col("__k") == low + 1, F.col("__v"))).alias("b"))
     value_ = F.when((at >= 1) & (at <= F.col("__n")), F.col("a") + F.when(at == low, F.lit(0.0)).otherwise((at - low) * (F.col("b") - F.col("a"))))
-    return got.select(*by, value_.alias(out))
+    return got.select(*by, value_.alias(out)).withColumn("error", F.when(F.col(out).isNull(), NUM))
 
 
 @function("QUARTILE.EXC", 3, 4, kind="relation")
@@ -309,12 +345,20 @@ def QUARTILE_EXC(df: DataFrame, value: str, q: int, by: tuple[str, ...] = ()) ->
     return PERCENTILE_EXC(df, value, int(q) / 4, by, "quartile_exc")
 
 
+def _value_counts(df: DataFrame, value: str, position: str, by: tuple[str, ...]) -> DataFrame:
+    """(keys, __v, __n, __p): each number with its count and first position."""
+    rows = df.select(*by, ranged(F.col(value)).alias("__v"), F.col(position).alias("__at"))
+    return rows.groupBy(*by, "__v").agg(F.count("*").alias("__n"), F.min("__at").alias("__p"))
+
+
 @function("MODE", 3, 4, kind="relation")
 def MODE(df: DataFrame, value: str, position: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Most frequent number, the earliest on ties; null if none occurs twice."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(position).alias("p"))
-    best = F.min_by(num(F.col(value)), F.struct(-F.col("n"), F.col("p")))
-    return counts.groupBy(*by).agg(F.when(F.max("n") > 1, best).alias("mode"))
+    """(keys, mode, error): the most frequent number, the earliest on ties; #N/A if none occurs twice."""
+    number = F.col("__v").isNotNull()
+    best = F.min_by(F.when(number, F.col("__v")), F.struct(~number, -F.col("__n"), F.col("__p")))
+    most = F.coalesce(F.max(F.when(number, F.col("__n"))), F.lit(0))
+    out = _value_counts(df, value, position, by).groupBy(*by).agg(F.when(most > 1, best).alias("mode"))
+    return out.withColumn("error", F.when(F.col("mode").isNull(), NA))
 
 
 alias("MODE.SNGL", "MODE")
@@ -322,11 +366,11 @@ alias("MODE.SNGL", "MODE")
 
 @function("MODE.MULT", 3, 4, kind="relation")
 def MODE_MULT(df: DataFrame, value: str, position: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """All most frequent numbers with their first positions, in whose order they come."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"), F.min(position).alias("first_position"))
-    most = counts.groupBy(*by).agg(F.max("n").alias("__most")).where("__most > 1")
+    """All most frequent numbers with their first positions, in whose order they come; a key without one (#N/A) has no row."""
+    counts = _value_counts(df, value, position, by).where("__v IS NOT NULL")
+    most = counts.groupBy(*by).agg(F.max("__n").alias("__most")).where("__most > 1")
     joined = counts.join(most, list(by)) if by else counts.crossJoin(F.broadcast(most))
-    return joined.where("n = __most").select(*by, num(F.col(value)).alias("mode_mult"), "first_position")
+    return joined.where("__n = __most").select(*by, F.col("__v").alias("mode_mult"), F.col("__p").alias("first_position"))
 
 
 @function("FREQUENCY", 3, kind="relation")
@@ -373,54 +417,84 @@ def AGGREGATE(code: int, options: int, x, k: float | None = None, error: Column
         return PERCENTILE(v, k)
     if code == 17:
         return QUARTILE(v, k)
-    raise ValueError("#VALUE!: use PERCENTILE.EXC or QUARTILE.EXC on the DataFrame for codes 18 and 19")
+    raise ValueError("#VALUE!: codes 18 and 19 take the DataFrame, see aggregate_over")
+
+
+def aggregate_over(df: DataFrame, code: int, options: int, value: str, k: float, by: tuple[str, ...] = (), error: str | None = None) -> DataFrame:
+    """(keys, value, error) of codes 14 to 19 as relations, which gather no column in a group: LARGE, SMALL, the inclusive
+    and the exclusive percentiles and quartiles."""
+    rows = df.where(F.col(error).isNull()) if error is not None and options in (2, 3, 6, 7) else df
+    if code in (14, 15):
+        out, name = (LARGE if code == 14 else SMALL)(rows, value, int(k), by), "large" if code == 14 else "small"
+    elif code in (16, 17):
+        found = (PERCENTILE if code == 16 else QUARTILE)(F.col(value), k)
+        out, name = rows.groupBy(*by).agg(found.alias("v"), error_of(found).alias("error")), "v"
+    elif code == 18:
+        out, name = PERCENTILE_EXC(rows, value, k, by), "percentile_exc"
+    elif code == 19:
+        out, name = QUARTILE_EXC(rows, value, int(k), by), "quartile_exc"
+    else:
+        raise ValueError("#VALUE!: codes 1 to 13 are Columns, see AGGREGATE")
+    return out.select(*by, F.col(name).alias("value"), "error")
 
 
 # --- regression ------------------------------------------------------------------------------------------------------
 def _paired(a, b) -> tuple[Column, Column]:
     """Both numbers, or null where either is missing."""
-    a_, b_ = num(a), num(b)
+    a_, b_ = ranged(a), ranged(b)
     ok = a_.isNotNull() & b_.isNotNull()
     return F.when(ok, a_), F.when(ok, b_)
 
 
+def _flat(*columns: Column) -> Column:
+    """Whether a column does not vary, or there is none."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | ~F.coalesce(F.var_pop(c) > 0, F.lit(False))
+    return out
+
+
 @_agg("CORREL", 2)
 def CORREL(a, b):
     x, y = _paired(a, b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return aggregated(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), a, b, fails=((_flat(x, y), DIV),))
 
 
 @_agg("RSQ", 2)
 def RSQ(ys, xs):
     r = CORREL(ys, xs)
-    return r * r
+    return with_error(r * r, error_of(r))
 
 
 @_agg("COVARIANCE.P", 2)
 def COVARIANCE_P(a, b):
-    return F.covar_pop(*_paired(a, b))
+    x, y = _paired(a, b)
+    return aggregated(F.covar_pop(x, y), a, b, fails=((F.count(x) < 1, DIV),))
 
 
 @_agg("COVARIANCE.S", 2)
 def COVARIANCE_S(a, b):
-    return F.covar_samp(*_paired(a, b))
+    x, y = _paired(a, b)
+    return aggregated(F.covar_samp(x, y), a, b, fails=((F.count(x) < 2, DIV),))
 
 
 @_agg("SLOPE", 2)
 def SLOPE(ys, xs):
     y, x = _paired(ys, xs)
-    return F.try_divide(F.covar_pop(x, y), F.var_pop(x))
+    return aggregated(F.try_divide(F.covar_pop(x, y), F.var_pop(x)), ys, xs, fails=((_flat(x), DIV),))
 
 
 @_agg("INTERCEPT", 2)
 def INTERCEPT(ys, xs):
     y, x = _paired(ys, xs)
-    return F.avg(y) - SLOPE(ys, xs) * F.avg(x)
+    slope = SLOPE(ys, xs)
+    return with_error(F.avg(y) - slope * F.avg(x), error_of(slope))
 
 
 @_agg("FORECAST", 3)
 def FORECAST(x0, ys, xs):
-    return INTERCEPT(ys, xs) + SLOPE(ys, xs) * num(x0)
+    slope = SLOPE(ys, xs)
+    return with_error(INTERCEPT(ys, xs) + slope * num(x0), error_of(slope))
 
 
 alias("FORECAST.LINEAR", "FORECAST")

@@ -6,14 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from quillgrid.functions.core import alias, function, num, trunc
+from quillgrid.functions.core import aggregated, alias, function, num, trunc
+from quillgrid.functions.core import ranged as ranged_numbers
 from quillgrid.operators.arrays import before_ranges, ranged
 
 
 def _w(by: tuple[str, ...]) -> WindowSpec:
+    """Without a key a window would sort all rows in one task: :func:`rank_over_all` does not."""
+    if not by:
+        raise ValueError("#VALUE!: ranks beside rows take a key; use rank_over_all without one, or rank_of for one number")
     return Window.partitionBy(*by)
 
 
+def rank_of(number, values: Column, ascending: bool = False) -> Column:
+    """RANK of a given number in a range, as an aggregate; #N/A if it is not there."""
+    x, v = num(number), ranged_numbers(values)
+    before = F.count_if(v < x) if ascending else F.count_if(v > x)
+    return aggregated((before + 1).cast("double"), values, fails=((F.count_if(v == x) == 0, "#N/A"),))
+
+
+def percentrank_of(number, values: Column, digits: int = 3, exclusive: bool = False) -> Column:
+    """PERCENTRANK of a given number as an aggregate, interpolated between its neighbours; #N/A outside the range."""
+    x, v = num(number), ranged_numbers(values)
+    n, below, at = F.count(v), F.count_if(v < x), F.count_if(v == x)
+    low, high = F.max(F.when(v < x, v)), F.min(F.when(v > x, v))
+    rank = F.when(at > 0, below).otherwise(below - 1 + F.try_divide(x - low, high - low))
+    share = F.try_divide(rank + 1, n + 1) if exclusive else F.when(n == 1, F.lit(1.0)).otherwise(F.try_divide(rank, n - 1))
+    outside = ~F.coalesce((F.min(v) <= x) & (F.max(v) >= x), F.lit(False))
+    return aggregated(_truncated(share, digits), values, fails=((outside, "#N/A"),))
+
+
 @function("RANK", 1, 3)
 def RANK(x: Column, by: tuple[str, ...] = (), ascending: bool = False) -> Column:
     """Best rank of ties, largest first unless ``ascending``; blanks have none."""
