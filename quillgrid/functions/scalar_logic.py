@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrid.functions.core import ERROR_TYPES, col, error_of, fold, function, guarded, num, trunc, with_error
+from quillgrid.functions.core import ERROR_TYPES, col, error_of, fold, function, guarded, keep_error, num, trunc, with_error
 
 
 def _chain(pairs, last=None, codes=None) -> Column:
@@ -198,3 +198,36 @@ def ISODD(x):
 def ISFORMULA(source):
     """On the ``source`` column of a cell relation."""
     return F.coalesce(col(source).startswith("="), F.lit(False))
+
+
+# --- comparison ------------------------------------------------------------------------------------------------------
+def _ordered(x: Column, other: Column) -> Column:
+    """(kind, number, text) by which values compare: numbers, then text without regard to ASCII case, then booleans.
+
+    A blank is what the other side's kind has for nothing.
+    """
+
+    def kind(c: Column) -> Column:
+        return F.when(F.typeof(c).startswith("string"), 1).when(F.typeof(c) == "boolean", 2).otherwise(0)
+
+    k = F.when(x.isNull() & other.isNotNull(), kind(other)).otherwise(kind(x))
+    number = F.when(kind(x) == 0, x.try_cast("double"))
+    text_ = F.when(kind(x) > 0, fold(x.cast("string")))
+    return F.struct(k.alias("kind"), F.coalesce(number, F.lit(0.0)).alias("number"), F.coalesce(text_, F.when(k == 2, "false").otherwise("")).alias("text"))
+
+
+def _comparison(sign: str, f):
+    def build(a, b):
+        a, b = col(a), col(b)
+        return keep_error(f(_ordered(a, b), _ordered(b, a)), a, b)
+
+    build.__name__ = sign
+    return function(sign, 2)(build)
+
+
+EQ = _comparison("=", lambda a, b: a == b)
+NE = _comparison("<>", lambda a, b: a != b)
+LT = _comparison("<", lambda a, b: a < b)
+LE = _comparison("<=", lambda a, b: a <= b)
+GT = _comparison(">", lambda a, b: a > b)
+GE = _comparison(">=", lambda a, b: a >= b)

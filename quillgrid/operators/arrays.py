@@ -56,8 +56,13 @@ def numbered(df: DataFrame, order: list[Column], position: str = "pos") -> DataF
 
 
 @_relation("FILTER", 2, 3)
-def FILTER(df: DataFrame, include: Column, if_empty: DataFrame | None = None) -> DataFrame:
-    """Rows where ``include`` holds; if none does and a fallback is given, that."""
+def FILTER(df: DataFrame, include: Column | list[bool], if_empty: DataFrame | None = None) -> DataFrame:
+    """Rows where ``include`` holds (a list: columns where it is true); if none does and a fallback is given, that."""
+    if isinstance(include, list):
+        names = [c for c, keep in zip(df.columns, include, strict=True) if keep]
+        if not names and if_empty is None:
+            raise ValueError("#CALC!")
+        return df.select(*names) if names else if_empty
     kept = df.where(include)
     if if_empty is None:
         return kept
@@ -96,17 +101,34 @@ def UNIQUE(df: DataFrame, position: str, exactly_once: bool = False) -> DataFram
     return groups.select(*[F.col("__row")[c].alias(c) for c in names], position)
 
 
-@_relation("TAKE", 3)
-def TAKE(df: DataFrame, n: int, position: str) -> DataFrame:
-    """First n rows by position, or the last for a negative n."""
-    if n == 0:
+def _columns(df: DataFrame, position: str) -> list[str]:
+    return [c for c in df.columns if c != position]
+
+
+@_relation("TAKE", 3, 4)
+def TAKE(df: DataFrame, n: int | None, position: str, columns: int | None = None) -> DataFrame:
+    """First n rows by position, or the last for a negative n (None: all); so for columns, beside the position."""
+    if n == 0 or columns == 0:
         raise ValueError("#CALC!")
+    if columns is not None:
+        names = _columns(df, position)
+        df = df.select(position, *(names[:columns] if columns > 0 else names[columns:]))
+    if n is None:
+        return df
     return df.orderBy(F.col(position) if n > 0 else F.col(position).desc()).limit(abs(n))
 
 
-@_relation("DROP", 3)
-def DROP(df: DataFrame, n: int, position: str) -> DataFrame:
-    """All but the first n rows by position, or the last: those are found first, the others pass a filter."""
+@_relation("DROP", 3, 4)
+def DROP(df: DataFrame, n: int | None, position: str, columns: int | None = None) -> DataFrame:
+    """All but the first n rows by position, or the last: those are found first, the others pass a filter; so for columns."""
+    if columns:
+        names = _columns(df, position)
+        left = names[columns:] if columns > 0 else names[:columns]
+        if not left:
+            raise ValueError("#CALC!")
+        df = df.select(position, *left)
+    if not n:
+        return df
     edge = TAKE(df.select(position), n, position).agg((F.max if n > 0 else F.min)(position).alias("__edge"))
     beyond = F.col(position) > F.col("__edge") if n > 0 else F.col(position) < F.col("__edge")
     return df.crossJoin(F.broadcast(edge)).where(beyond).drop("__edge")

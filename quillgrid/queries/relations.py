@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgrid.functions import scalar_finance
+from quillgrid.functions.core import call, error_of
 from quillgrid.functions.criteria import criterion
 from quillgrid.operators import aggregates as A
 from quillgrid.operators import arrays as R
@@ -136,12 +137,55 @@ def register(k: Catalog) -> None:
     for name in ("forecast", "forecast_linear"):
         lines(name, lambda: A.FORECAST(60, c("l_extendedprice") / 1000, c("l_quantity")), f"regr_intercept({Y}) + 60 * regr_slope({Y})")
     k.add("trend", lambda s, d: A.TREND(read(s, d, "lineitem"), "l_extendedprice", "l_quantity", s.range(1, 61).select(c("id").cast("double").alias("x"))).select("x", F.round("trend", 3).alias("trend")), "SELECT CAST(x.range AS DOUBLE) AS x, round(b + a * x.range, 3) AS trend FROM range(1, 61) x, (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem)")
+    register_errors(k)
     register_lookups(k)
     register_arrays(k)
     register_windows(k)
     register_flows(k)
 
 
+def register_errors(k: Catalog) -> None:
+    """Text and booleans in ranges, error codes of aggregates, codes of SUBTOTAL and AGGREGATE, comparisons."""
+    lines = lambda s, d: read(s, d, "lineitem")
+    r4 = lambda x: F.round(x, 4)
+    flagged = lambda: c("l_linestatus") == "O"
+    mixed = lambda: {"text_sum": A.SUM(c("l_linestatus")), "text_count": A.COUNT(c("l_linestatus")), "boolean_sum": A.SUM(flagged()), "boolean_count": A.COUNT(flagged()), "text_counta": A.COUNTA(c("l_linestatus")), "number_count": A.COUNT(c("l_quantity"))}
+    k.add("mixed_ranges", lambda s, d: lines(s, d).groupBy("l_returnflag").agg(*[v.alias(n) for n, v in mixed().items()]), "SELECT l_returnflag, 0.0::DOUBLE AS text_sum, 0.0::DOUBLE AS text_count, 0.0::DOUBLE AS boolean_sum, 0.0::DOUBLE AS boolean_count, count(l_linestatus)::DOUBLE AS text_counta, count(l_quantity)::DOUBLE AS number_count FROM lineitem GROUP BY 1")
+
+    def coded(s, d):
+        only = F.when((c("c_nationkey") % 5 == 0), c("c_acctbal"))
+        average, spread, middle, some = A.AVERAGE(only), A.STDEV(F.when(c("c_custkey") % 97 == 0, c("c_acctbal"))), A.MEDIAN(only), A.AVERAGEIFS(c("c_acctbal"), c("c_acctbal"), ">9990")
+        out = {"average": average, "stdev": spread, "median": middle, "averageifs": some}
+        return read(s, d, "customer").groupBy("c_nationkey").agg(*[r4(v).alias(n) for n, v in out.items()], *[error_of(v).alias(f"{n}_error") for n, v in out.items()])
+
+    codes = "round(avg({0}), 4) AS average, round(stddev_samp({1}), 4) AS stddev, round(median({0}), 4) AS median, round(avg({2}), 4) AS averageifs, CASE WHEN count({0}) = 0 THEN '#DIV/0!' END AS average_error, CASE WHEN count({1}) < 2 THEN '#DIV/0!' END AS stdev_error, CASE WHEN count({0}) = 0 THEN '#NUM!' END AS median_error, CASE WHEN count({2}) = 0 THEN '#DIV/0!' END AS averageifs_error".replace("AS stddev,", "AS stdev,")
+    k.add("aggregate_errors", coded, "SELECT c_nationkey, " + codes.format("CASE WHEN c_nationkey % 5 = 0 THEN c_acctbal END", "CASE WHEN c_custkey % 97 = 0 THEN c_acctbal END", "CASE WHEN c_acctbal > 9990 THEN c_acctbal END") + " FROM customer GROUP BY 1")
+
+    def passed_on(s, d):
+        root = call("SQRT", c("c_acctbal"))
+        total, largest, n, chosen = A.SUM(root), A.MAX(root), A.COUNT(root), A.SUMIFS(root, c("c_acctbal"), ">0")
+        return read(s, d, "customer").groupBy("c_mktsegment", (c("c_acctbal") < 0).alias("owes")).agg(r4(total).alias("total"), error_of(total).alias("total_error"), error_of(largest).alias("max_error"), n.alias("n"), r4(chosen).alias("chosen"))
+
+    k.add("errors_passed_on", passed_on, "SELECT c_mktsegment, c_acctbal < 0 AS owes, CASE WHEN c_acctbal < 0 THEN NULL ELSE round(sum(CASE WHEN c_acctbal >= 0 THEN sqrt(CASE WHEN c_acctbal >= 0 THEN c_acctbal END) END), 4) END AS total, CASE WHEN c_acctbal < 0 THEN '#NUM!' END AS total_error, CASE WHEN c_acctbal < 0 THEN '#NUM!' END AS max_error, CAST(count(CASE WHEN c_acctbal >= 0 THEN 1 END) AS DOUBLE) AS n, round(coalesce(sum(sqrt(CASE WHEN c_acctbal > 0 THEN c_acctbal END)), 0), 4) AS chosen FROM customer GROUP BY c_mktsegment, c_acctbal < 0".replace("CASE WHEN c_acctbal < 0 THEN NULL ELSE round", "CASE WHEN bool_or(c_acctbal < 0) THEN NULL ELSE round").replace("CASE WHEN c_acctbal < 0 THEN '#NUM!'", "CASE WHEN bool_or(c_acctbal < 0) THEN '#NUM!'"))
+    q = lambda: c("l_quantity")
+    plain = {1: "avg({})", 2: "count({})", 3: "count({})", 4: "max({})", 5: "min({})", 7: "stddev_samp({})", 8: "stddev_pop({})", 9: "sum({})", 10: "var_samp({})", 11: "var_pop({})"}
+    k.add("subtotal_codes", lambda s, d: lines(s, d).groupBy("l_returnflag").agg(*[r4(A.SUBTOTAL(code + 100 * (code % 2), q()).cast("double")).alias(f"c{code}") for code in plain]), "SELECT l_returnflag, " + ", ".join(f"round(CAST({x.format('l_quantity')} AS DOUBLE), 4) AS c{n}" for n, x in plain.items()) + " FROM lineitem GROUP BY 1")
+    k.add("subtotal_product", lambda s, d: lines(s, d).where("l_linenumber <= 4 AND l_orderkey <= 40").groupBy("l_orderkey").agg(A.SUBTOTAL(6, c("l_linenumber")).alias("value")), "SELECT l_orderkey, CAST(product(l_linenumber) AS DOUBLE) AS value FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey <= 40 GROUP BY 1")
+    left_out = lambda: F.when(c("l_linestatus") == "O", "#N/A")
+    all_codes = plain | {12: "median({})", 16: "quantile_cont({}, 0.3)", 17: "quantile_cont({}, 0.75)"}
+    argument = {16: 0.3, 17: 3}
+    k.add("aggregate_codes", lambda s, d: lines(s, d).groupBy("l_returnflag").agg(*[r4(A.AGGREGATE(code, 6, q(), argument.get(code), error=left_out()).cast("double")).alias(f"c{code}") for code in all_codes]), "SELECT l_returnflag, " + ", ".join(f"round(CAST({x.format('v')} AS DOUBLE), 4) AS c{n}" for n, x in all_codes.items()) + " FROM (SELECT l_returnflag, CASE WHEN l_linestatus <> 'O' THEN l_quantity END AS v FROM lineitem) GROUP BY 1")
+    ranked = "(SELECT c_mktsegment, c_acctbal AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal {}) AS k FROM customer)"
+    for code, way in ((14, "DESC"), (15, "ASC")):
+        k.add(f"aggregate_{code}", lambda s, d, code=code: A.aggregate_over(read(s, d, "customer"), code, 4, "c_acctbal", 4, ("c_mktsegment",)), f"SELECT c_mktsegment, v AS value, CAST(NULL AS VARCHAR) AS error FROM {ranked.format(way)} WHERE k = 4")
+    for code, arg, share in ((18, 0.3, 0.3), (19, 3, 0.75)):
+        k.add(f"aggregate_{code}", lambda s, d, code=code, arg=arg: A.aggregate_over(read(s, d, "customer"), code, 4, "c_acctbal", arg, ("c_mktsegment",)).withColumn("value", r4(c("value"))), f"WITH r AS (SELECT *, {share} * (count(*) OVER (PARTITION BY c_mktsegment) + 1) AS a FROM {ranked.format('ASC')}) SELECT c_mktsegment, round(max(CASE WHEN k = floor(a) THEN v END) + (max(a) - floor(max(a))) * (max(CASE WHEN k = floor(a) + 1 THEN v END) - max(CASE WHEN k = floor(a) THEN v END)), 4) AS value, CAST(NULL AS VARCHAR) AS error FROM r GROUP BY 1")
+    k.add("large_too_few", lambda s, d: A.LARGE(read(s, d, "nation"), "n_nationkey", 6, ("n_regionkey",)), "SELECT n_regionkey, CAST(NULL AS DOUBLE) AS large, '#NUM!' AS error FROM nation GROUP BY 1")
+    k.add("rank_of", lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(*[x for n, v in (("rank", K.rank_of(7, c("n_nationkey"))), ("percentrank", K.percentrank_of(7, c("n_nationkey")))) for x in (v.alias(n), error_of(v).alias(f"{n}_error"))]), "WITH g AS (SELECT n_regionkey, count(*) AS n, count(*) FILTER (WHERE n_nationkey > 7) AS above, count(*) FILTER (WHERE n_nationkey < 7) AS below, count(*) FILTER (WHERE n_nationkey = 7) AS here, min(n_nationkey) AS lo, max(n_nationkey) AS hi, max(n_nationkey) FILTER (WHERE n_nationkey < 7) AS l, min(n_nationkey) FILTER (WHERE n_nationkey > 7) AS h FROM nation GROUP BY 1) SELECT n_regionkey, CASE WHEN here > 0 THEN CAST(above + 1 AS DOUBLE) END AS rank, CASE WHEN here = 0 THEN '#N/A' END AS rank_error, CASE WHEN lo <= 7 AND hi >= 7 THEN floor((CASE WHEN here > 0 THEN below ELSE below - 1 + (7 - l) / CAST(h - l AS DOUBLE) END) / CAST(n - 1 AS DOUBLE) * 1000 + 1e-9) / 1000 END AS percentrank, CASE WHEN lo <= 7 AND hi >= 7 THEN NULL ELSE '#N/A' END AS percentrank_error FROM g")
+    for name, sign, sql in (("op_eq", "=", "="), ("op_ne", "<>", "<>"), ("op_lt", "<", "<"), ("op_le", "<=", "<="), ("op_gt", ">", ">"), ("op_ge", ">=", ">=")):
+        k.add(name, lambda s, d, sign=sign: read(s, d, "part").select("p_partkey", call(sign, c("p_size"), 25).alias("numbers"), call(sign, c("p_brand"), "bRAND#3").alias("texts"), call(sign, c("p_size"), "1").alias("kinds"), call(sign, c("p_size") > 25, True).alias("booleans"), call(sign, F.nullif(c("p_size"), F.lit(7)), 0).alias("blanks")), f"SELECT p_partkey, p_size {sql} 25 AS numbers, lower(p_brand) {sql} 'brand#3' AS texts, 0 {sql} 1 AS kinds, (p_size > 25) {sql} true AS booleans, coalesce(nullif(p_size, 7), 0) {sql} 0 AS blanks FROM part")
+
+
 def register_lookups(k: Catalog) -> None:
     facts = lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     parts = lambda s, d: read(s, d, "part").where("p_size <= 25").select("p_partkey", "p_name")
@@ -171,6 +215,16 @@ def register_lookups(k: Catalog) -> None:
     k.add("match_0", lambda s, d: L.MATCH(facts(s, d), "l_partkey", read(s, d, "part").select("p_partkey", (c("p_partkey") + 1).alias("at")), "p_partkey", "at"), "SELECT l_orderkey, l_linenumber, l_partkey, p_partkey + 1 AS match FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
     k.add("index", lambda s, d: L.INDEX(read(s, d, "supplier").select("s_suppkey", F.expr("s_nationkey + 1").alias("at_row")), "at_row", read(s, d, "nation").select((c("n_nationkey") + 1).alias("pos"), "n_name"), "pos"), "SELECT s_suppkey, s_nationkey + 1 AS at_row, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey")
     k.add("index_match", lambda s, d: L.exact_join(read(s, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("seg")), "seg", s.createDataFrame([("BUILDING", "one"), ("MACHINERY", "two")], "segment string, code string"), "segment", ["code"]), "SELECT c_custkey, lower(c_mktsegment) AS seg, CASE lower(c_mktsegment) WHEN 'building' THEN 'one' WHEN 'machinery' THEN 'two' END AS code FROM customer")
+    words = lambda s: s.createDataFrame([(1, "NATION_1"), (2, "nation_1*"), (3, "*_?"), (4, "none*"), (5, "~*"), (6, "*.1"), (7, None)], "id int, want string")
+    W = "(VALUES (1, 'nation\\_1'), (2, 'nation\\_1%'), (3, '%\\__'), (4, 'none%'), (5, '*'), (6, '%.1'), (7, NULL)) w(id, p)"
+    wild = f"FROM {W} LEFT JOIN nation ON n_name ILIKE p ESCAPE '\\' GROUP BY id"
+    k.add("xlookup_wildcard", lambda s, d: L.XLOOKUP(words(s), "want", read(s, d, "nation"), "n_name", ["n_nationkey"], 2, 1, "n_nationkey", error="error").drop("want"), f"SELECT id, min(n_nationkey) AS n_nationkey, CASE WHEN count(n_nationkey) = 0 THEN '#N/A' END AS error {wild}")
+    k.add("match_wildcard", lambda s, d: L.MATCH(words(s), "want", read(s, d, "nation").select("n_name", (c("n_nationkey") + 1).alias("at")), "n_name", "at", error="error").drop("want"), f"SELECT id, min(n_nationkey) + 1 AS match, CASE WHEN count(n_nationkey) = 0 THEN '#N/A' END AS error {wild}")
+    k.add("xlookup_blank_found", lambda s, d: L.XLOOKUP(read(s, d, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", read(s, d, "region").where("r_regionkey < 3").select("r_regionkey", F.nullif(c("r_name"), F.lit("AFRICA")).alias("r_name")), "r_regionkey", ["r_name"], if_not_found="none"), "SELECT n_nationkey, n_regionkey, CASE WHEN r_regionkey IS NULL THEN 'none' ELSE nullif(r_name, 'AFRICA') END AS r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey")
+    k.add("vlookup_error", lambda s, d: L.VLOOKUP(facts(s, d), "l_partkey", parts(s, d), "p_partkey", ["p_name"], approximate=False, error="error"), base.format("p_name, CASE WHEN p_partkey IS NULL THEN '#N/A' END AS error"))
+    k.add("index_column", lambda s, d: L.INDEX(read(s, d, "supplier").select("s_suppkey", F.expr("s_nationkey + 4").alias("at_row")), "at_row", read(s, d, "nation").select((c("n_nationkey") + 1).alias("pos"), "n_regionkey", "n_name"), "pos", column=2, error="error"), "SELECT s_suppkey, s_nationkey + 4 AS at_row, n_name, CASE WHEN n_nationkey IS NULL THEN '#REF!' END AS error FROM supplier LEFT JOIN nation ON n_nationkey + 1 = s_nationkey + 4")
+    k.add("index_whole_column", lambda s, d: L.INDEX(read(s, d, "region").select("r_regionkey", F.lit(0).alias("at_row")), "at_row", read(s, d, "nation").select((c("n_nationkey") + 1).alias("pos"), "n_name"), "pos"), "SELECT r_regionkey, 0 AS at_row, n_name FROM region CROSS JOIN nation")
+    k.add("hlookup_approx", lambda s, d: L.HLOOKUP(s.createDataFrame([("Bzz",), ("c",), ("A",)], "want string"), "want", read(s, d, "nation").select("n_nationkey", c("n_regionkey").alias("b"), (c("n_nationkey") * 2).alias("c")), ["b", "c"], "n_nationkey", True), "SELECT 'Bzz' AS want, n_nationkey, n_regionkey AS value FROM nation UNION ALL SELECT 'c', n_nationkey, n_nationkey * 2 FROM nation UNION ALL SELECT 'A', NULL, NULL")
     k.add("hlookup", lambda s, d: L.HLOOKUP(s.createDataFrame([("B",), ("c",)], "want string"), "want", read(s, d, "nation").select("n_nationkey", c("n_regionkey").alias("b"), (c("n_nationkey") * 2).alias("c")), ["b", "c"], "n_nationkey"), "SELECT 'B' AS want, n_nationkey, n_regionkey AS value FROM nation UNION ALL SELECT 'c', n_nationkey, n_nationkey * 2 FROM nation")
     k.add("countif_anti", lambda s, d: L.anti(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders"), "o_custkey"), "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
     k.add("match_semi", lambda s, d: L.semi(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders"), "o_custkey"), "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -192,6 +246,9 @@ def register_arrays(k: Catalog) -> None:
     k.add("unique_once", lambda s, d: R.UNIQUE(read(s, d, "part").select("p_type", "p_size", "p_partkey"), "p_partkey", True), "SELECT p_type, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 HAVING count(*) = 1")
     k.add("take", lambda s, d: R.TAKE(nation(s, d), 5, "pos"), f"SELECT * FROM {N} WHERE pos <= 5")
     k.add("take_last", lambda s, d: R.TAKE(nation(s, d), -4, "pos"), f"SELECT * FROM {N} WHERE pos > 21")
+    k.add("take_columns", lambda s, d: R.TAKE(nation(s, d), 5, "pos", -1), f"SELECT pos, n_regionkey FROM {N} WHERE pos <= 5")
+    k.add("drop_columns", lambda s, d: R.DROP(nation(s, d), -5, "pos", 1), f"SELECT pos, n_regionkey FROM {N} WHERE pos <= 20")
+    k.add("filter_columns", lambda s, d: R.FILTER(nation(s, d), [True, False, True]), f"SELECT pos, n_regionkey FROM {N}")
     k.add("drop", lambda s, d: R.DROP(nation(s, d), 5, "pos"), f"SELECT * FROM {N} WHERE pos > 5")
     k.add("choosecols", lambda s, d: R.CHOOSECOLS(nation(s, d), -1, 1, 1), f"SELECT n_regionkey, pos, pos AS pos_2 FROM {N}")
     k.add("chooserows", lambda s, d: R.CHOOSEROWS(nation(s, d), "pos", 3, -1, 3), f"SELECT pos, n_name, n_regionkey, CAST(pick AS INTEGER) AS pick FROM {N} JOIN (VALUES (1, 3), (2, 25), (3, 3)) w(pick, spot) ON pos = spot")
