@@ -222,7 +222,7 @@ def _comparison(sign: str, f):
         return keep_error(f(_ordered(a, b), _ordered(b, a)), a, b)
 
     build.__name__ = sign
-    return function(sign, 2)(build)
+    return build
 
 
 EQ = _comparison("=", lambda a, b: a == b)
@@ -231,3 +231,4 @@ LT = _comparison("<", lambda a, b: a < b)
 LE = _comparison("<=", lambda a, b: a <= b)
 GT = _comparison(">", lambda a, b: a > b)
 GE = _comparison(">=", lambda a, b: a >= b)
+COMPARISONS = {"=": EQ, "<>": NE, "<": LT, "<=": LE, ">": GT, ">=": GE}

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quillgrid.functions import scalar_finance
 from quillgrid.functions.core import call, error_of
 from quillgrid.functions.criteria import criterion
+from quillgrid.functions.scalar_logic import COMPARISONS
 from quillgrid.operators import aggregates as A
 from quillgrid.operators import arrays as R
 from quillgrid.operators import lookup as L
@@ -183,7 +184,7 @@ def register_errors(k: Catalog) -> None:
     k.add("large_too_few", lambda s, d: A.LARGE(read(s, d, "nation"), "n_nationkey", 6, ("n_regionkey",)), "SELECT n_regionkey, CAST(NULL AS DOUBLE) AS large, '#NUM!' AS error FROM nation GROUP BY 1")
     k.add("rank_of", lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(*[x for n, v in (("rank", K.rank_of(7, c("n_nationkey"))), ("percentrank", K.percentrank_of(7, c("n_nationkey")))) for x in (v.alias(n), error_of(v).alias(f"{n}_error"))]), "WITH g AS (SELECT n_regionkey, count(*) AS n, count(*) FILTER (WHERE n_nationkey > 7) AS above, count(*) FILTER (WHERE n_nationkey < 7) AS below, count(*) FILTER (WHERE n_nationkey = 7) AS here, min(n_nationkey) AS lo, max(n_nationkey) AS hi, max(n_nationkey) FILTER (WHERE n_nationkey < 7) AS l, min(n_nationkey) FILTER (WHERE n_nationkey > 7) AS h FROM nation GROUP BY 1) SELECT n_regionkey, CASE WHEN here > 0 THEN CAST(above + 1 AS DOUBLE) END AS rank, CASE WHEN here = 0 THEN '#N/A' END AS rank_error, CASE WHEN lo <= 7 AND hi >= 7 THEN floor((CASE WHEN here > 0 THEN below ELSE below - 1 + (7 - l) / CAST(h - l AS DOUBLE) END) / CAST(n - 1 AS DOUBLE) * 1000 + 1e-9) / 1000 END AS percentrank, CASE WHEN lo <= 7 AND hi >= 7 THEN NULL ELSE '#N/A' END AS percentrank_error FROM g")
     for name, sign, sql in (("op_eq", "=", "="), ("op_ne", "<>", "<>"), ("op_lt", "<", "<"), ("op_le", "<=", "<="), ("op_gt", ">", ">"), ("op_ge", ">=", ">=")):
-        k.add(name, lambda s, d, sign=sign: read(s, d, "part").select("p_partkey", call(sign, c("p_size"), 25).alias("numbers"), call(sign, c("p_brand"), "bRAND#3").alias("texts"), call(sign, c("p_size"), "1").alias("kinds"), call(sign, c("p_size") > 25, True).alias("booleans"), call(sign, F.nullif(c("p_size"), F.lit(7)), 0).alias("blanks")), f"SELECT p_partkey, p_size {sql} 25 AS numbers, lower(p_brand) {sql} 'brand#3' AS texts, 0 {sql} 1 AS kinds, (p_size > 25) {sql} true AS booleans, coalesce(nullif(p_size, 7), 0) {sql} 0 AS blanks FROM part")
+        k.add(name, lambda s, d, sign=sign: read(s, d, "part").select("p_partkey", COMPARISONS[sign](c("p_size"), 25).alias("numbers"), COMPARISONS[sign](c("p_brand"), "bRAND#3").alias("texts"), COMPARISONS[sign](c("p_size"), "1").alias("kinds"), COMPARISONS[sign](c("p_size") > 25, True).alias("booleans"), COMPARISONS[sign](F.nullif(c("p_size"), F.lit(7)), 0).alias("blanks")), f"SELECT p_partkey, p_size {sql} 25 AS numbers, lower(p_brand) {sql} 'brand#3' AS texts, 0 {sql} 1 AS kinds, (p_size > 25) {sql} true AS booleans, coalesce(nullif(p_size, 7), 0) {sql} 0 AS blanks FROM part")
 
 
 def register_lookups(k: Catalog) -> None:
