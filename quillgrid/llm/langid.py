@@ -120,17 +120,20 @@ def calibrated_minimum(texts: list[bytes], labels: list[str]) -> float:
     return max(0.0, least)
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, calibrate: bool = False) -> Model | None:
-    """Fit on a bounded sample: of each language the ``per_language`` rows whose hashed id is smallest.
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, calibrate: bool = False, most_chars: int = SAMPLE_CHARS) -> Model | None:
+    """Fit on a bounded sample: of each language the ``per_language`` rows of at most ``most_chars`` whose hashed id is smallest.
 
-    Spark limits each language within a task before it shuffles; the shuffled rows hold no text.  ``calibrate`` also sets the
-    model's ``min_score`` from folds of the sample held out in turn.
+    Spark limits each language within a task before it shuffles; the shuffled rows hold no text.  Of rows that repeat an id
+    and a language one text is taken, so what reaches the driver stays within the bound.  Null ids, languages and texts and
+    texts without a letter teach nothing; nothing to learn from gives None.  ``calibrate`` also sets the model's
+    ``min_score`` from folds of the sample held out in turn.
     """
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(11), id_col), id_col)
     picked = usable.select(id_col, lang_col).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
-    ids = F.broadcast(picked.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), "__n"))
-    rows = usable.join(ids, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang"))).select(lang_col, text_col, "__n").collect()
+    ids = F.broadcast(picked.groupBy(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).agg(F.min("__n").alias("__n")))
+    found = usable.join(ids, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
+    rows = found.groupBy(lang_col, "__n").agg(F.min(text_col).alias("__text")).select(lang_col, "__text", "__n").collect()
     rows = sorted((r for r in rows if has_letter(r[1])), key=lambda r: (r[0], r[2], r[1]))
     texts, labels = [normalised(r[1]) for r in rows], [r[0] for r in rows]
     model = fit(texts, labels)

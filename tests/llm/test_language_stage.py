@@ -18,3 +18,12 @@ def test_stage_drops_what_no_language_claims_and_keeps_the_rest(spark):
 def test_documents_with_letters_stay_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None), (4, "x", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()} == {1, 4}
+
+
+def test_repeated_rows_stay_within_the_sample(spark, monkeypatch):
+    seen = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda texts, labels: seen.append(len(texts)) or fit(texts, labels))
+    rows = [(1, f"repeated text {i}", "en") for i in range(1000)] + [(i, f"ein anderer Text {i}", "de") for i in range(2, 30)]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert seen == [21]
