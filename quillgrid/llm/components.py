@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.util import stored
+from quillgrid.llm.util import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -28,13 +28,15 @@ def _state(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) for all nodes of ``links`` (longs a, b); the component is its smallest node.
 
-    Minima are partial aggregates, so a hot node sends one row a task; each round is a table in the shared folder.  The
+    Minima are partial aggregates, so a hot node sends one row a task; each round is a table in the shared folder, and the one
+    before is deleted.  The
     number of rounds is about the logarithm of the longest chain; only a count and a checksum reach the driver.
     """
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while (state := _state(now)) != before:
-        before = state
-        now = stored(_small_star(_large_star(now)), "links")
+        before, last = state, now
+        now = stored(_small_star(_large_star(last)), "links")
+        discard(last)
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
