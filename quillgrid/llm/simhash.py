@@ -8,10 +8,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm import jaccard
+from quillgrid.llm.bitslice import BITS, bit_planes, within_radius
 from quillgrid.llm.components import connected_components
 from quillgrid.llm.util import bound_batches, number_of_partitions, small_or_shuffled, stored
 
-BITS = 64
 #: Fingerprints of one key that a task compares at once; larger groups are cut into tiles of two chunks.
 CHUNK = 8192
 SEED = 42
@@ -44,6 +45,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+def fingerprinted(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
+    """``docs`` with each row's fingerprint as a signed long (__fp).  Null and wordless texts have fingerprint 0."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), words) for t in b.column(text_col)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("__fp")).schema)
+
+
 def key_masks(radius: int = 2, bits: int = BITS) -> list[int]:
     """Masks of which at least one selects equal bits in any two fingerprints within ``radius``.
 
@@ -61,36 +74,6 @@ def key_masks(radius: int = 2, bits: int = BITS) -> list[int]:
     return masks
 
 
-def bit_planes(values: list[int], bits: int = BITS) -> list[int]:
-    """Plane k has bit i set if fingerprint i has bit k set."""
-    raw = np.unpackbits(np.array(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return [int.from_bytes(np.packbits(raw[:, k], bitorder="little").tobytes(), "little") for k in range(bits)]
-
-
-def within_radius(planes: list[int], everyone: int, query: int, radius: int = 2) -> int:
-    """The fingerprints (bit i for i) that differ from ``query`` in at most ``radius`` bits.
-
-    All distances advance together, plane by plane, in carry-save counters: counter c holds bit c of every distance.
-    Who passes the radius leaves; a block is abandoned once nobody is left.
-    """
-    counters = [0] * (radius + 1).bit_length()
-    alive = everyone
-    for k, plane in enumerate(planes):
-        carry = (plane ^ everyone if query >> k & 1 else plane) & alive
-        for c, value in enumerate(counters):
-            counters[c], carry = value ^ carry, value & carry
-            if not carry:
-                break
-        if k >= radius:
-            over = everyone
-            for c, value in enumerate(counters):
-                over &= value if (radius + 1) >> c & 1 else ~value
-            alive &= ~over
-            if not alive:
-                return 0
-    return alive
-
-
 def spanning_links(values: list[int], radius: int = 2, block: int = 4096) -> list[tuple[int, int]]:
     """Links that connect what direct links within ``radius`` connect in ``values``: at most len(values) - 1."""
     parent = list(range(len(values)))
@@ -203,8 +186,21 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component; rows with a null id all stay."""
-    found = near_duplicates(docs, id_col, text_col, words, radius)
-    lost = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__lost")).distinct()
-    return docs.join(small_or_shuffled(stored(lost, "simhash-lost")), F.col(id_col) == F.col("__lost"), "left_anti")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """``docs`` with the row of the smallest id of each component; rows with a null id all stay.
+
+    Texts link within ``radius`` bits, or, where ``similarity`` is given, by the exact Jaccard similarity of their shingles,
+    for which the fingerprints only rule pairs out (:mod:`quillgrid.llm.jaccard`).  Each row is judged by its own text,
+    whatever other rows of its id hold; repeated rows share one verdict.
+    """
+    if similarity is not None:
+        return jaccard.near_dedup(docs, id_col, text_col, words, similarity)
+    found = stored(near_duplicates(docs, id_col, text_col, words, radius), "simhash-found")
+    lost = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("__lost"), F.col("fp").alias("__lost_fp")).distinct()
+    lost = small_or_shuffled(stored(lost, "simhash-lost"))
+    # only rows of these ids need their own fingerprint
+    ids = small_or_shuffled(lost.select(F.col("__lost").alias("__id")).distinct())
+    touched = docs.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    own = stored(fingerprinted(touched, text_col, words), "simhash-touched")
+    kept = own.join(lost, (F.col(id_col) == F.col("__lost")) & (F.col("__fp") == F.col("__lost_fp")), "left_anti")
+    return docs.join(ids, F.col(id_col) == F.col("__id"), "left_anti").unionByName(kept.drop("__fp"))

@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from quillgrid.llm import jaccard
+from quillgrid.llm import jaccard, simhash
+from quillgrid.llm.bitslice import pairs_within
 
 from test_operators import components_of, words
 
@@ -44,3 +47,34 @@ def test_edited_copies_and_a_hot_group(spark, monkeypatch):
     assert sum(r["doc_id"] is None for r in got) == 2
     assert [r["text"] for r in got if r["doc_id"] == 1001] == ["another text of the same id"]
     assert jaccard.near_dedup(df.limit(0)).count() == 0
+
+
+def test_bit_sliced_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, 999).astype(np.uint64)
+    y = x ^ (rng.integers(0, 1 << 63, 999) & rng.integers(0, 1 << 63, 999)).astype(np.uint64)
+    y[:5] = x[:5]
+    for radius in (0, 2, 13, 28):
+        expect = [(int(a) ^ int(b)).bit_count() <= radius for a, b in zip(x, y)]
+        assert pairs_within(x, y, radius, block=100).tolist() == expect
+    assert pairs_within(x[:0], y[:0], 2).tolist() == []
+
+
+def test_similar_sets_lie_within_the_radius():
+    """Sets at the threshold, of 5 to 500 shingles: their SimHashes by majority of the bits are never further apart."""
+    rng = np.random.default_rng(3)
+    for size in (5, 10, 50, 500):
+        sets = [rng.integers(0, 1 << 63, size).astype(np.uint64) for _ in range(300)]
+        pairs = [s for a in sets for s in (np.sort(a), np.sort(a[: int(np.ceil(size * 0.8))]))]
+        starts = np.cumsum([0, *map(len, pairs[:-1])])
+        _, fp, _ = jaccard.signatures(np.concatenate(pairs), starts)
+        plain = [sum(1 << k for k in range(64) if 2 * sum(int(v) >> k & 1 for v in s) > len(s)) for s in pairs[:8]]
+        assert fp[:8].tolist() == plain
+        assert pairs_within(fp[::2], fp[1::2], jaccard.RADIUS).all()
+
+
+def test_radius_form_judges_each_row_of_a_repeated_id(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text), (2, text), (2, "other words than those"), (3, "other  words than those"), (4, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in simhash.near_dedup(df).where("text IS NOT NULL").collect())
+    assert got == [(1, text), (2, "other words than those")]
