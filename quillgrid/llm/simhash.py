@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgrid.llm import jaccard
 from quillgrid.llm.bitslice import BITS, bit_planes, within_radius
 from quillgrid.llm.components import connected_components
-from quillgrid.llm.util import bound_batches, number_of_partitions, small_or_shuffled, stored
+from quillgrid.llm.util import bound_batches, number_of_partitions, small_or_shuffled, stored, tiles_of
 
 #: Fingerprints of one key that a task compares at once; larger groups are cut into tiles of two chunks.
 CHUNK = 8192
@@ -156,10 +156,7 @@ def links(distinct: DataFrame, radius: int = 2, chunk: int = CHUNK) -> DataFrame
     hot = keyed.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     keyed = keyed.join(small_or_shuffled(hot), "key", "left")
     own = F.pmod(F.xxhash64(F.lit(3), "fp"), F.col("chunks")).cast("int")
-    tiles = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
-    )
-    tiled = keyed.select("fp", "key", F.explode(tiles).alias("t")).select("fp", "key", "t.lo", "t.hi")
+    tiled = keyed.select("fp", "key", F.explode(tiles_of(own, F.col("chunks"))).alias("t")).select("fp", "key", "t.lo", "t.hi")
     n = number_of_partitions(distinct.sparkSession)
     runs = tiled.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp")
     return runs.mapInArrow(_links_of_runs(radius), "a long, b long").distinct()

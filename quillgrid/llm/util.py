@@ -101,3 +101,11 @@ def pieces_of(batches, rows: int = 1024):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def tiles_of(own, chunks):
+    """The tiles (lo, hi) that the row of chunk ``own`` goes to in a group cut into ``chunks`` (null: one): each pair of chunks
+    meets in one tile, so no task holds more than two chunks of a group."""
+    one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    each = F.transform(F.sequence(F.lit(0), F.coalesce(chunks, F.lit(1)) - 1), lambda j: F.struct(F.least(own, j).alias("lo"), F.greatest(own, j).alias("hi")))
+    return F.when(chunks.isNull(), one).otherwise(each)

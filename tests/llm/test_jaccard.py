@@ -78,3 +78,24 @@ def test_radius_form_judges_each_row_of_a_repeated_id(spark):
     df = spark.createDataFrame([(1, text), (2, text), (2, "other words than those"), (3, "other  words than those"), (4, None)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in simhash.near_dedup(df).where("text IS NOT NULL").collect())
     assert got == [(1, text), (2, "other words than those")]
+
+
+def test_hot_keys_of_unlike_copies_are_tiled(spark, monkeypatch):
+    """Copies that are near to some others only: large keys are compared in tiles, with the links of all pairs."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocabulary) for _ in range(140)]
+    texts = []
+    for _ in range(160):
+        text, edits = list(base), rng.randint(1, 9)
+        for at in rng.sample(range(140), edits):
+            text[at] = rng.choice(vocabulary)
+        texts.append(" ".join(text))
+    docs = list(enumerate(texts)) + [(1000 + i, " ".join(rng.choice(vocabulary) for _ in range(50))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expect = kept_by_brute_force(docs)
+    assert 25 < len(expect) < 170
+    for few, chunk in ((4, 1024), (4, 30), (1, 7)):
+        monkeypatch.setattr(jaccard, "FEW", few)
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        assert {r["doc_id"] for r in jaccard.near_dedup(df).select("doc_id").collect()} == expect
