@@ -55,7 +55,7 @@ def register(k: Catalog) -> None:
     lines("countblank", lambda: A.COUNTBLANK(F.nullif(c("l_linestatus"), F.lit("O"))), "count(*) FILTER (WHERE l_linestatus = 'O')")
     lines("min", lambda: A.MIN(q()), "min(l_quantity)")
     lines("max", lambda: A.MAX(c("l_extendedprice")), "max(l_extendedprice)")
-    lines("product", lambda: A.PRODUCT(F.when(c("l_linenumber") > 0, F.lit(1.0))), "1.0")
+    lines("product", lambda: A.PRODUCT(F.lit(1.0) + c("l_discount") / 10000), "product(1.0 + l_discount / 10000)")
     lines("sumsq", lambda: A.SUMSQ(q()), "sum(l_quantity * l_quantity)")
     lines("sumproduct", lambda: A.SUMPRODUCT(q(), c("l_linenumber")), "sum(l_quantity * l_linenumber)")
     # criteria
@@ -105,7 +105,7 @@ def register(k: Catalog) -> None:
     k.add("avedev", lambda s, d: A.AVEDEV(read(s, d, "customer"), "c_acctbal", ("c_mktsegment",)).select("c_mktsegment", F.round("avedev", 4).alias("value")), "WITH m AS (SELECT c_mktsegment, avg(c_acctbal) AS m FROM customer GROUP BY 1) SELECT c_mktsegment, round(avg(abs(c_acctbal - m)), 4) AS value FROM customer JOIN m USING (c_mktsegment) GROUP BY 1")
     lines("averagea", lambda: A.AVERAGEA(c("l_linestatus") == "O", "boolean"), "avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0 END)")
     lines("maxa", lambda: A.MAXA(c("l_linestatus") == "O", "boolean"), "max(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)")
-    lines("mina", lambda: A.MINA(c("l_linestatus"), "string"), "0")
+    lines("mina", lambda: A.MINA(F.when(q() > 5, q())), "min(l_quantity) FILTER (WHERE l_quantity > 5)")
     # order statistics
     customers("percentile", lambda: A.PERCENTILE(c("c_acctbal"), 0.9), "quantile_cont(c_acctbal, 0.9)")
     customers("percentile_inc", lambda: A.PERCENTILE(c("c_acctbal"), 0.25), "quantile_cont(c_acctbal, 0.25)")
