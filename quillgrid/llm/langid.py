@@ -18,6 +18,8 @@ from quillgrid.llm.util import bound_batches, pieces_of
 SAMPLE_PER_LANGUAGE = 400
 SAMPLE_CHARS = 20_000
 LANDMARKS_PER_LANGUAGE = 32
+#: The sample is drawn in two steps: in this many buckets of ids of each language, then among what they keep.
+BUCKETS = 16
 RIDGE = 1e-3
 UNDETERMINED = "und"
 #: Score of a text that no one-versus-rest classifier claims (winning value 0); calibration may only lower it.
@@ -123,14 +125,17 @@ def calibrated_minimum(texts: list[bytes], labels: list[str]) -> float:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, calibrate: bool = False, most_chars: int = SAMPLE_CHARS) -> Model | None:
     """Fit on a bounded sample: of each language the ``per_language`` rows of at most ``most_chars`` whose hashed id is smallest.
 
-    Spark limits each language within a task before it shuffles; the shuffled rows hold no text.  Of rows that repeat an id
+    Spark limits each bucket of a language within a task before it shuffles, so the task that ends a language reads at most
+    BUCKETS times ``per_language`` rows however large the table; the shuffled rows hold no text.  Of rows that repeat an id
     and a language one text is taken, so what reaches the driver stays within the bound.  Null ids, languages and texts and
     texts without a letter teach nothing; nothing to learn from gives None.  ``calibrate`` also sets the model's
     ``min_score`` from folds of the sample held out in turn.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= most_chars))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(11), id_col), id_col)
-    picked = usable.select(id_col, lang_col).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_language)
+    rank = [F.xxhash64(F.lit(11), id_col), F.col(id_col)]
+    in_bucket = Window.partitionBy(lang_col, F.pmod(F.xxhash64(F.lit(12), id_col), F.lit(BUCKETS))).orderBy(*rank)
+    few = usable.select(id_col, lang_col).withColumn("__n", F.row_number().over(in_bucket)).where(F.col("__n") <= per_language)
+    picked = few.withColumn("__n", F.row_number().over(Window.partitionBy(lang_col).orderBy(*rank))).where(F.col("__n") <= per_language)
     ids = F.broadcast(picked.groupBy(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")).agg(F.min("__n").alias("__n")))
     found = usable.join(ids, (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__lang")))
     rows = found.groupBy(lang_col, "__n").agg(F.min(text_col).alias("__text")).select(lang_col, "__text", "__n").collect()
