@@ -280,9 +280,10 @@ def _fixed_text(x, decimals, commas: bool) -> Column:
 
 
 @function("FIXED", 1, 3)
-def FIXED(x, decimals=2, no_commas=False):
+def FIXED(x, decimals=2, no_commas=False, signed_zero=False):
+    """A negative number that rounds to zero has its sign only with ``signed_zero``."""
     shown = _fixed_text(x, decimals, not no_commas)
-    sign = F.when((num(x) < 0) & shown.rlike("[1-9]"), "-").otherwise("")
+    sign = F.when((num(x) < 0) & (F.lit(signed_zero) | shown.rlike("[1-9]")), "-").otherwise("")
     return guarded(F.concat(sign, shown), args=(x,))
 
 

@@ -88,3 +88,15 @@ def test_registry_checks_arguments():
         call("MOD", 1)
     with pytest.raises(KeyError):
         call("NOSUCH", 1)
+
+
+def test_fixed_of_negative_numbers_that_round_to_zero(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, float(v)) for i, v in enumerate([-0.06, -0.05, -0.04, -0.01, 0.0, 0.01, 0.04, 0.05, -999.96, 9999.95])]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["value"] for r in catalog.QUERIES["fixed"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == dict(con.execute(catalog.ORACLE_SQL["fixed"]).fetchall())
+    assert got[2] == "-0.0" and spark.range(1).select(call("FIXED", -0.04, 1)).first()[0] == "0.0"
