@@ -13,6 +13,7 @@ the corpus, and of neither does anything but totals reach the driver.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,9 @@ from quillgrid.llm.util import bound_batches, discard, number_of_partitions, sto
 END = np.uint64(0x6C62272E07BB0142)
 #: Gibbs sweeps after the customers have arrived, and how many of them are not kept.
 SWEEPS, BURN_IN = 3, 1
-#: Customers of a dish that a sweep removes and seats again, drawn at random.
-MOVES = 4
+#: A sweep draws the seats of dishes of at most this many customers at once, those of larger ones customer by customer:
+#: a customer of each dish in one step where there are at least TOGETHER.
+AT_ONCE, TOGETHER = 2048, 192
 STRENGTH = 1.0
 #: Tokens of a block of texts, and of a part of the pair table on average.
 BLOCK_TOKENS, PART_TOKENS = 1 << 20, 3 << 20
@@ -144,38 +146,129 @@ def first_sizes(customers: np.ndarray, tables: np.ndarray, seed: np.ndarray) ->
     return sizes
 
 
-def gibbs(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, discount: float, new: np.ndarray, seed: np.ndarray, moves: int = MOVES) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, sizes) after ``moves`` random customers of each dish have been removed and seated again.
+def _at_once(customers: np.ndarray, discount: float, new: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Tables of dishes whose customers are all removed and seated again together, drawn from their joint conditional.
 
-    A removed customer's table goes if nobody is left at it.  It then sits down at a table of n customers with weight
-    n - discount, or at a new one with weight ``new``: the Gibbs conditional, given the restaurant's other totals.
+    c customers sit at t tables with a probability in proportion to new ** t times a generalised Stirling number, the sum
+    over seatings of the products of what each customer meets.  Numbers of one c give those of the next.
     """
-    slots, sizes = tables.astype(np.int64).copy(), sizes.astype(np.int64).copy()
-    for step in range(moves):
-        some = np.flatnonzero(customers >= max(2, step + 1))
-        if not len(some):
-            break
-        last = np.cumsum(slots) - 1
-        first = (last - slots + 1)[some]
-        last = last[some]
-        seats = np.cumsum(sizes)
-        leaves = np.searchsorted(seats, seats[first] - sizes[first] + np.floor(_uniform(seed[some], 2 * step) * customers[some]).astype(np.int64), "right")
-        sizes[leaves] -= 1
-        weight = np.where(sizes > 0, sizes - discount, 0.0)
-        reach = np.cumsum(weight)
-        begin = reach[first] - weight[first]
-        have = reach[last] - begin
-        pick = _uniform(seed[some], 2 * step + 1) * (have + new[some])
-        opens = pick >= have
-        joins = np.clip(np.searchsorted(reach, begin + pick, "right"), first, last)
-        # rounding may point at an empty table: then the customer goes back
-        joins = np.where(sizes[joins] > 0, joins, leaves)
-        sizes[joins[~opens]] += 1
-        sizes = np.insert(sizes, last[opens] + 1, 1)
-        slots[some[opens]] += 1
-    dish = np.repeat(np.arange(len(slots)), slots)
-    keep = sizes > 0
-    return np.bincount(dish[keep], minlength=len(slots)).astype(np.int64), sizes[keep]
+    tables, log_new = np.ones(len(customers), np.int64), np.log(np.maximum(new, 1e-300))
+    order = np.argsort(customers, kind="stable")
+    first = _runs(customers[order])
+    dishes = dict(zip(customers[order[first]].tolist(), np.split(order, first[1:])))
+    row, u = np.zeros(1), _uniform(seed, 1)
+    for c in range(2, max(dishes, default=0) + 1):
+        t = np.arange(1, c)
+        opened, joined = np.r_[-np.inf, row], np.r_[row + np.log(c - 1 - discount * t), -np.inf]
+        most = np.maximum(opened, joined)
+        row = most + np.log1p(np.exp(np.minimum(opened, joined) - most))
+        mine, t = dishes.get(c, order[:0]), np.arange(1, c + 1)
+        for k in range(0, len(mine), step := max(1, (1 << 16) // c)):
+            some = mine[k : k + step]
+            weight = row + log_new[some, None] * t
+            reach = np.cumsum(np.exp(weight - weight.max(1)[:, None]), 1)
+            tables[some] += (reach[:, :-1] <= (u[some] * reach[:, -1])[:, None]).sum(1)
+    return tables
+
+
+def _one_by_one(at: np.ndarray, i: int, new: float, discount: float, seed: int) -> list[int]:
+    """Sizes of a dish's tables after customers ``i`` and later have moved; ``at``: the table of each customer.
+
+    The steps of :func:`_in_turn` for a dish that only few others match in size: linear in its customers.
+    """
+    _, table, sizes = np.unique(at, return_inverse=True, return_counts=True)
+    n, sizes, draws = len(at), sizes.tolist(), np.random.default_rng(seed)
+    at = table.tolist() if n < 1 << 20 else array("q", table.astype(np.int64).tobytes())
+    others = n - 1
+    left = at[i]
+    sizes[left] -= 1
+    while i < n:
+        x = draws.random(min(n - i, 1 << 14) + 16) * (others + new)
+        whole = x.astype(np.int64)
+        for j, part in zip(whole.tolist(), (x - whole).tolist()):
+            if j < others:
+                joins = at[j] if j < i else at[j + 1]
+                if part * sizes[joins] < discount:
+                    continue
+                sizes[joins] += 1
+                at[i] = joins
+            elif sizes[left]:
+                at[i] = len(sizes)
+                sizes.append(1)
+            else:
+                sizes[left] = 1
+            i += 1
+            if i == n:
+                break
+            left = at[i]
+            sizes[left] -= 1
+    return [k for k in sizes if k]
+
+
+def _in_turn(c: np.ndarray, sizes: np.ndarray, discount: float, new: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, sizes) after each customer was removed and seated again, one after another, in a random order.
+
+    A removed customer's table goes if nobody is left at it.  The customer then sits down at a table of n customers with
+    weight n - discount, or at a new one with weight ``new``: the Gibbs conditional, given the restaurant's other totals.
+    It follows another customer of the dish, drawn at random, to a table of n with probability 1 - discount / n, and draws
+    again if not, so a move looks at no other table.  The k-th customers of all dishes move in one step; when fewer than
+    TOGETHER dishes have that many, each goes on by itself.  ``c``: falling.
+    """
+    total, start = int(c.sum()), np.cumsum(c) - c
+    kind = np.int32 if 2 * total < 1 << 31 else np.int64
+    # customer g calls its table 2g if it sits there first now, 2g + 1 if it opens it; tables of a dish stay side by side
+    label = 2 * (np.cumsum(sizes) - sizes)
+    at, seated = np.repeat(label, sizes).astype(kind), np.zeros(2 * total, kind)
+    seated[label] = sizes
+    dish = np.repeat(np.arange(len(c)), c)
+    at = at[np.argsort(dish + _uniform(T.mix(seed[dish] + (np.arange(total) - start[dish]).astype(np.uint64)), 2))]
+    others, all_weight = c - 1, c - 1 + new
+    step, m = 0, len(c)
+    while m >= TOGETHER:
+        here = start[:m] + step
+        seated[at[here]] -= 1
+        wait, tried = np.arange(m), 0
+        while len(wait):
+            x = _uniform(seed[wait], 3 + step * 0x10001 + tried) * all_weight[wait]
+            j = x.astype(np.int64)
+            opens = j >= others[wait]
+            joins = np.where(opens, 2 * here[wait] + 1, at[start[wait] + np.where(opens, 0, j + (j >= step))])
+            sits = opens | ((x - j) * seated[joins] >= discount)
+            done = wait[sits]
+            at[here[done]] = joins[sits]
+            seated[joins[sits]] += 1
+            wait, tried = wait[~sits], tried + 1
+        step += 1
+        m = int(np.searchsorted(-c, -step, "left"))
+    for r in range(m):
+        a, z = int(start[r]), int(start[r] + c[r])
+        left = _one_by_one(at[a:z], step, float(new[r]), discount, int(seed[r]))
+        seated[2 * a : 2 * z] = 0
+        seated[2 * a : 2 * a + len(left)] = left
+    live = np.flatnonzero(seated)
+    return np.diff(np.searchsorted(live, 2 * np.r_[start, total])), seated[live].astype(np.int64)
+
+
+def gibbs(customers: np.ndarray, tables: np.ndarray, sizes: np.ndarray, discount: float, new: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tables, sizes) after every customer of each dish has been removed and seated again.
+
+    Dishes of at most AT_ONCE customers are drawn as a whole, whatever their seats were; since only their number of tables
+    is used then, the first table is given all whom the others do not need.  Customers of larger dishes move in turn.
+    """
+    seed = T.mix(seed ^ _ODD)
+    few = (customers > 1) & (customers <= AT_ONCE)
+    many = np.flatnonzero(customers > AT_ONCE)
+    many = many[np.argsort(-customers[many], kind="stable")]
+    t = tables[many].astype(np.int64)
+    slots = np.repeat((np.cumsum(tables) - tables)[many] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+    t, moved = _in_turn(customers[many].astype(np.int64), sizes[slots].astype(np.int64), discount, new[many], seed[many])
+    tables = np.minimum(customers, 1).astype(np.int64)
+    tables[few] = _at_once(customers[few], discount, new[few], seed[few])
+    tables[many] = t
+    out, first = np.ones(int(tables.sum()), np.int64), np.cumsum(tables) - tables
+    out[first[few]] = (customers - tables + 1)[few]
+    out[np.repeat(first[many] - (np.cumsum(t) - t), t) + np.arange(len(moved))] = moved
+    return tables, out
 
 
 def _chosen(first: np.ndarray, tables_a: np.ndarray, sizes_a: np.ndarray, tables_b: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -403,10 +496,10 @@ class Model:
         return (x + base) / (self.customers[k] + self.strength)
 
 
-def update_words(words: DataFrame, saved: DataFrame, m: Model, seat: bool, keep: bool) -> DataFrame:
+def update_words(words: DataFrame, saved: DataFrame, m: Model, sweep: int, keep: bool) -> DataFrame:
     """A sweep over the root: kind 0 are the words' new rows, kind 1 the answers to the parts of the pairs.
 
-    ``saved`` (wpart, part, vocabulary, u, w): what the repeated pairs of a part save in customers, as contexts and as words.
+    Before the first sweep (below zero) nobody is seated.  ``saved`` (wpart, part, vocabulary, u, w): what the repeated pairs of a part save in customers, as contexts and as words.
     """
     d = m.root_discount
 
@@ -421,11 +514,11 @@ def update_words(words: DataFrame, saved: DataFrame, m: Model, seat: bool, keep:
             at, amount = _joined(asked, "<i8").astype(np.int64), _joined(got, "<i8")
             saves.append(np.bincount(at, amount, len(word)).astype(np.int64))
         customers, served = count - saves[0], count - saves[1]
-        if not seat:
+        if sweep < 0:
             tables, sizes = np.minimum(customers, 1), customers
         else:
             new = np.full(len(word), (m.strength + d * m.tables[-1]) / (m.vocabulary + 1))
-            seed = T.mix(word + np.uint64(len(m.tables)) * _ODD)
+            seed = T.mix(word + np.uint64(sweep + 1) * _ODD)
             again = customers != old
             drawn = arrive(np.where(again, customers, 0), d, new, seed)
             fresh = first_sizes(np.where(again, customers, 0), drawn, seed)
@@ -512,25 +605,25 @@ def fit(blocks: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> Fitt
     m.discount = _discount(n - repeated, twice)
     pairs = stored(update_pairs(sent, None, m, -1, False), "seats")
 
-    def at_root(seat: bool, keep: bool) -> None:
+    def at_root(sweep: int, keep: bool) -> None:
         nonlocal words
         saved = pairs.where("kind = 2").select("wpart", "part", "vocabulary", "u", "w")
-        new = stored(update_words(words.where("kind = 0"), saved, m, seat, keep), "words")
+        new = stored(update_words(words.where("kind = 0"), saved, m, sweep, keep), "words")
         discard(words)
         words = new
         customers, tables, one, two = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_customers", "n_tables", "one", "two")]).first()
-        if not seat:
+        if sweep < 0:
             m.root_discount = _discount(one, two)
         before = (m.customers, m.tables) if m.kept_last else (m.customers[:-1], m.tables[:-1])
         m.customers, m.tables, m.kept_last = (*before[0], float(customers)), (*before[1], float(tables)), keep
 
-    at_root(False, False)
+    at_root(-1, False)
     for sweep in range(sweeps + 1):
         keep = sweep > burn_in
         new = stored(update_pairs(pairs, words.where("kind = 1"), m, sweep, keep), "seats")
         discard(pairs)
         pairs = new
-        at_root(True, keep)
+        at_root(sweep, keep)
     return Fitted(m, blocks, words, pairs, sent, frequent)
 
 

@@ -357,6 +357,28 @@ def test_gibbs_moves_reach_the_distribution_of_seats():
         assert (tables == t).mean() == pytest.approx(weight[t] / sum(weight.values()), abs=0.01)
 
 
+@pytest.mark.parametrize("at_once, together", [(2048, 192), (1, 1), (1, 1 << 30)])
+def test_a_sweep_moves_every_customer(monkeypatch, at_once, together):
+    """200 customers of one table are soon at as many as the Chinese restaurant has, drawn at once or moved in turn."""
+    monkeypatch.setattr(pitman_yor, "AT_ONCE", at_once)
+    monkeypatch.setattr(pitman_yor, "TOGETHER", together)
+    c, d, new, n = 200, 0.5, 200.0, 400
+    share = np.array([1.0])
+    for seated in range(1, c):
+        t = np.arange(1, seated + 1)
+        share = np.r_[share * (seated - d * t), 0] + np.r_[0, share * new]
+        share /= share.sum()
+    mean = share @ np.arange(1, c + 1)
+    customers, tables, sizes = np.full(n, c), np.ones(n, np.int64), np.full(n, c)
+    for sweep in range(12):
+        seed = tokens.mix(np.arange(n, dtype=np.uint64) + np.uint64(sweep * 1000003))
+        tables, sizes = pitman_yor.gibbs(customers, tables, sizes, d, np.full(n, new), seed)
+        assert (sizes >= 1).all() and (np.bincount(np.repeat(np.arange(n), tables), sizes, n) == c).all()
+        assert sweep or tables.mean() > mean / 2
+    assert tables.mean() == pytest.approx(mean, rel=0.02)
+    assert tables.std() == pytest.approx((share @ (np.arange(1, c + 1) - mean) ** 2) ** 0.5, rel=0.15)
+
+
 def test_a_document_that_occurs_twice_scores_apart(spark):
     from pyspark.sql import functions as F
 
