@@ -44,17 +44,29 @@ def word_table() -> np.ndarray:
     return T.translation(PUNCTUATION)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a bit vector over ``a`` at a time."""
+def places_of(a: list[int]) -> dict[int, int]:
+    """The places of each word as bits."""
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def longest_shared(length: int, shared: list[int]) -> int:
+    """Length of the longest common subsequence with a list of ``length`` words, a bit vector over it at a time; ``shared``:
+    the places there of the other list's words (those without any change nothing)."""
+    full = (1 << length) - 1
     v = full
-    for x in b:
-        u = v & places.get(x, 0)
+    for places in shared:
+        u = v & places
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return length - v.bit_count()
+
+
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    places = places_of(a)
+    return longest_shared(len(a), [places[x] for x in b if x in places])
 
 
 def gram_size(length: int) -> int:
@@ -91,10 +103,18 @@ class Items:
         found = [out[i] for i in keep]
         return cls([rows[i][0] for i in keep], found, np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64))
 
+    def __post_init__(self) -> None:
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.vocabulary >> np.uint64(44)] = True
+
     def terms(self, hashes: np.ndarray) -> np.ndarray:
-        """Index in the vocabulary, or -1."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+        """Index in the vocabulary, or -1.  Only words whose first bits are those of one of its words are searched."""
+        out = np.full(len(hashes), -1, np.int64)
+        some = np.flatnonzero(self.sieve[(hashes >> np.uint64(44)).astype(np.int64)])
+        wanted = hashes[some]
+        at = np.minimum(np.searchsorted(self.vocabulary, wanted), len(self.vocabulary) - 1)
+        out[some] = np.where(self.vocabulary[at] == wanted, at, -1)
+        return out
 
     def grams(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(size, hashes, item indexes) of the items' runs of words of each size, sorted by hash."""
@@ -220,27 +240,43 @@ class Sparse:
         a, z = ends[rows.start], ends[min(rows.stop, len(self.sizes))]
         return Sparse(self.terms[a:z], self.values[a:z], self.sizes[rows])
 
-    def times(self, dense: np.ndarray, most: int = 1 << 15) -> np.ndarray:
-        """The product with a dense matrix, some entries at a time; every row has an entry."""
-        out, ends, i = np.zeros((len(self.sizes), dense.shape[1]), np.float32), np.cumsum(self.sizes), 0
-        while i < len(self.sizes):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] - self.sizes[i] + most, "right")))
-            a, z = ends[i] - self.sizes[i], ends[j - 1]
-            out[i:j] = np.add.reduceat(dense[self.terms[a:z]] * self.values[a:z, None], ends[i:j] - self.sizes[i:j] - a, axis=0)
-            i = j
-        return out
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        return sums_of_rows(dense.astype(np.float32, copy=False), self.terms, self.values, self.sizes)
 
-    def transposed_times(self, dense: np.ndarray, width: int, most: int = 1 << 15) -> np.ndarray:
+    def transposed_times(self, dense: np.ndarray, width: int) -> np.ndarray:
         out, row = np.zeros((width, dense.shape[1])), np.repeat(np.arange(len(self.sizes)), self.sizes)
         order = np.argsort(self.terms, kind="stable")
-        for a in range(0, len(order), most):
-            at = order[a : a + most]
-            term = self.terms[at]
-            cut = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-            out[term[cut]] += np.add.reduceat(dense[row[at]] * self.values[at, None], cut, axis=0)
+        term = self.terms[order]
+        cut = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else order
+        out[term[cut]] = sums_of_rows(dense, row[order], self.values[order], np.diff(np.r_[cut, len(term)]))
         return out
 
 
+def sums_of_rows(dense: np.ndarray, index: np.ndarray, values: np.ndarray, sizes: np.ndarray, block: int = 256, long: int = 64) -> np.ndarray:
+    """For each stretch of ``sizes`` entries the sum of the rows ``index`` of a dense matrix, times ``values``.
+
+    The k-th entries of a block of stretches are added in one step, which stays in a core's cache; a long stretch is a
+    product of its own.
+    """
+    out = np.zeros((len(sizes), dense.shape[1]), np.float32)
+    start = np.cumsum(sizes) - sizes
+    for r in np.flatnonzero(sizes > long).tolist():
+        for a in range(start[r], start[r] + sizes[r], 1 << 12):
+            z = min(a + (1 << 12), start[r] + sizes[r])
+            out[r] += values[a:z] @ dense[index[a:z]]
+    short = np.flatnonzero(sizes <= long)
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    for b in range(0, len(short), block):
+        rows = short[b : b + block]
+        n, first = sizes[rows], start[rows]
+        total = np.zeros((len(rows), dense.shape[1]), np.float32)
+        for k in range(int(n[0])):
+            at = first[: int(np.searchsorted(-n, -k, "left"))] + k
+            total[: len(at)] += dense[index[at]] * values[at, None]
+        out[rows] = total
+    return out
+
+
 def able(w: T.Words, term: np.ndarray, weight: np.ndarray, p: Passages, min_cosine: float) -> tuple[np.ndarray, Sparse]:
     """Passages that can reach the cosine, by the share of their weight that lies on benchmark words, and their rows."""
     some = np.flatnonzero((p.share >= min_cosine**2) & (p.norm > 1e-6))
@@ -373,7 +409,7 @@ class Search:
 
     def leaks(self, column: pa.Array) -> dict[tuple[int, int], tuple[float, bool, float, int]]:
         """(row, item index) -> (LCS share, answer, cosine, minus first word) of the best passage."""
-        table, best = word_table(), {}
+        table, best, places = word_table(), {}, {}
         rows_of = np.searchsorted(self.owner, np.arange(len(self.items.ids) + 1))
         for at, data, bounds in T.slices(column):
             w = T.words(data, bounds, table)
@@ -392,13 +428,19 @@ class Search:
             n_words = w.per_doc
             first = np.cumsum(n_words) - n_words
             for (passage, item), cosine in candidates.items():
-                doc, wanted = int(p.doc[passage]), self.items.words[item].tolist()
-                reach = len(wanted)
+                doc, reach = int(p.doc[passage]), len(self.items.words[item])
                 a, z = max(first[doc], p.start[passage] - reach), min(first[doc] + n_words[doc], p.end[passage] + reach)
-                region = w.hashes[a:z].tolist()
-                share = common_subsequence(wanted, region) / reach
+                if item not in places:
+                    places[item] = places_of(self.items.words[item].tolist())
+                here = places[item]
+                shared = [here[x] for x in w.hashes[a:z][term[a:z] >= 0].tolist() if x in here]
+                # no common subsequence is longer than the words that the item has at all
+                if len(shared) / reach < MIN_LCS_WITH_ANSWER:
+                    continue
+                share = longest_shared(reach, shared) / reach
                 if share < MIN_LCS_WITH_ANSWER:
                     continue
+                wanted, region = self.items.words[item].tolist(), w.hashes[a:z].tolist()
                 tail = wanted[-ANSWER_WORDS:]
                 answer = any(region[k : k + len(tail)] == tail for k in range(len(region) - len(tail) + 1))
                 if share >= MIN_LCS or answer or cosine >= self.min_cosine and reach >= SURE_WORDS:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillgrid.llm import decontam, tokens
@@ -97,3 +98,41 @@ def test_rows_go_by_their_own_text(spark):
     assert kept.columns == df.columns and {r["item_id"] for r in kept.collect()} == set(range(len(rows))) - {1, 2}
     assert decontam.decontaminate(df.limit(0), spark.createDataFrame([(0, item)], "item_id long, text string")).count() == 0
     assert decontam.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
+
+
+def test_only_passages_with_enough_words_of_an_item_are_compared(monkeypatch):
+    """A passage with two or three words of an item in a row, but under half of them, needs no common subsequence."""
+    compared = []
+    longest = decontam.longest_shared
+    monkeypatch.setattr(decontam, "longest_shared", lambda length, shared: compared.append(length) or longest(length, shared))
+    item = [f"i{k}" for k in range(20)]
+    items = decontam.Items.of([(0, " ".join(item))])
+    weights = decontam.Weights(np.ones(len(items.vocabulary)), np.ones(decontam.BUCKETS))
+    owner, rows = decontam.item_passages(items, weights)
+    basis = np.eye(len(items.vocabulary), dtype=np.float32)
+    search = decontam.Search(items, weights, basis, owner, rows.times(basis), items.grams(), 0.3)
+    noise = [f"n{k}" for k in range(30)]
+    few, many = noise + item[:9] + noise, noise + item + noise
+    assert set(search.leaks(pa.array([" ".join(few), " ".join(many)]))) == {(1, 0)}
+    assert compared and len(compared) == len(decontam.passages(*words_of(many)).start)
+
+
+def words_of(text):
+    data = np.frombuffer(" ".join(text).encode(), np.uint8)
+    w = decontam.T.words(data, np.array([0, len(data)]), decontam.word_table())
+    return w, np.ones(len(w.hashes)), np.zeros(len(w.hashes), bool)
+
+
+def test_sums_of_rows_and_terms_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    sizes = np.r_[rng.integers(1, 9, 700), 5000, 65, 64]
+    index, values, dense = rng.integers(0, 90, sizes.sum()), rng.random(sizes.sum()).astype(np.float32), rng.random((90, 7)).astype(np.float32)
+    m = decontam.Sparse(index, values, sizes)
+    plain = np.zeros((len(sizes), 90))
+    np.add.at(plain, (np.repeat(np.arange(len(sizes)), sizes), index), values)
+    assert np.allclose(m.times(dense), plain @ dense, rtol=1e-4)
+    other = rng.random((len(sizes), 7)).astype(np.float32)
+    assert np.allclose(m.transposed_times(other, 95)[:90], plain.T @ other, rtol=1e-4) and not m.transposed_times(other, 95)[90:].any()
+    items = decontam.Items.of([(0, "a b c"), (1, "c d")])
+    asked = np.r_[items.vocabulary, items.vocabulary ^ np.uint64(1), rng.integers(0, 1 << 63, 1000).astype(np.uint64)]
+    assert items.terms(asked).tolist() == [items.vocabulary.tolist().index(h) if h in items.vocabulary.tolist() else -1 for h in asked.tolist()]
